@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 PLAIN, LINE, SENTENCE, PARAGRAPH, SECTION = range(5)
 KINDS = ("word", "line", "sentence", "paragraph", "section")
 
-# A word is a run of characters other than Unicode white space (the property White_Space).
 # The code points with the Unicode property White_Space, and those of them that end a line.
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_ENDS = "".join(map(chr, [10, 13, 0x85, 0x2028, 0x2029]))
@@ -56,7 +55,7 @@ def place(strength, n: int, limit: int, overlap: int, reach: float) -> list[tupl
         for i in range(1, count):
             target = round(i * (length - overlap) + overlap)
             # new words in every piece, a whole overlap for the next one, no piece over the limit
-            low = max(last + 1, target - near, overlap)
+            low = max(last + 1, target - near, overlap + 1)
             high = min(begin + limit, target + near, n - 1)
             if low > high:
                 break
