@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from filingloom.plans import records
+
+_MODULES = (records,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in _MODULES for name, s in m.oracle_sql().items()}
