@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm.leaks import leaks
+from filingloom.llm.neardup import all_pairs, groups, near_duplicates
 from filingloom.llm.split import split_oversized
 from filingloom.llm.tokenize import encode_corpus
 from filingloom.sources.tables import section_key, table
@@ -34,6 +37,39 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece = 1").select("source", "filing_id").distinct()
 
 
+P5_WORDS, P5_SIMILARITY = 3, 0.6
+
+
+def _p5_sources(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str, str]]:
+    filings = table(spark, sf_dir, "filings", "filing_id", "full_document")
+    item_1a = table(spark, sf_dir, "sections", "section_id", "section", "section_text").where(section_key("section") == "item_1a")
+    return {"full_document": (filings, "filing_id", "full_document"), "item_1a": (item_1a, "section_id", "section_text")}
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    return {s: near_duplicates(*args, P5_SIMILARITY, P5_WORDS) for s, args in _p5_sources(spark, sf_dir).items()}
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate pairs between representatives of texts with different shingles, with their similarity."""
+    return reduce(DataFrame.unionByName, [pairs.select(F.lit(s).alias("source"), "*") for s, (pairs, _) in _p5(spark, sf_dir).items()])
+
+
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The representative of every text: the smallest id with the same shingles."""
+    return reduce(DataFrame.unionByName, [members.select(F.lit(s).alias("source"), "*") for s, (_, members) in _p5(spark, sf_dir).items()])
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every text that is in a pair or has a copy, with the number of its links."""
+    return reduce(DataFrame.unionByName, [groups(pairs, members).select(F.lit(s).alias("source"), "*") for s, (pairs, members) in _p5(spark, sf_dir).items()])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of near-duplicates, copies included."""
+    return reduce(DataFrame.unionByName, [all_pairs(pairs, members).select(F.lit(s).alias("source"), "*") for s, (pairs, members) in _p5(spark, sf_dir).items()])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
@@ -51,7 +87,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_texts": p1_texts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_texts": p1_texts, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_members": p5_members, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 # White_Space of Unicode, as an RE2 class
