@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filingloom.llm.leaks import leaks
 from filingloom.llm.neardup import all_pairs, groups, near_duplicates
+from filingloom.llm.spans import shared_spans
 from filingloom.llm.split import split_oversized
 from filingloom.llm.tokenize import encode_corpus
 from filingloom.sources.tables import section_key, table
@@ -37,6 +38,36 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece = 1").select("source", "filing_id").distinct()
 
 
+P4_CHARACTERS = 300
+_P4_SOURCES = ("full_document", "contexts")
+
+
+def _p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings and contexts in one table; a record's number is twice its id, plus one for contexts."""
+    filings = table(spark, sf_dir, "filings", "filing_id", "full_document").toDF("id", "t")
+    contexts = table(spark, sf_dir, "anomaly_contexts", "context_id", "contexts").toDF("id", "t")
+    return filings.select((F.col("id") * 2).alias("rec"), "t").unionByName(contexts.select((F.col("id") * 2 + 1).alias("rec"), "t")).where("t is not null")
+
+
+def _p4_named(df: DataFrame) -> DataFrame:
+    source = F.when(F.pmod("rec", F.lit(2)) == 0, _P4_SOURCES[0]).otherwise(_P4_SOURCES[1])
+    return df.select(source.alias("source"), F.floor(F.col("rec") / 2).cast("long").alias("rec_id"), *[c for c in df.columns if c != "rec"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of each record that are shared with another record."""
+    return _p4_named(shared_spans(_p4_records(spark, sf_dir), P4_CHARACTERS))
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each record how many of its characters occur elsewhere."""
+    records = _p4_records(spark, sf_dir)
+    spans = shared_spans(records, P4_CHARACTERS).groupBy("rec").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"), F.count("*").alias("spans"))
+    sizes = records.select("rec", F.length("t").alias("chars")).groupBy("rec").agg(F.max("chars").alias("chars"))
+    both = sizes.join(spans, "rec", "left").na.fill(0, ["shared", "spans"])
+    return _p4_named(both.withColumn("share", F.when(F.col("chars") > 0, F.col("shared") / F.col("chars"))))
+
+
 P5_WORDS, P5_SIMILARITY = 3, 0.6
 
 
@@ -87,7 +118,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_texts": p1_texts, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_members": p5_members, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_texts": p1_texts, "p4_found": p4_found, "p4_shares": p4_shares, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_members": p5_members, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 # White_Space of Unicode, as an RE2 class
