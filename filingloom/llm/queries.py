@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingloom.llm.garbled import garbled, repaired
 from filingloom.llm.leaks import leaks
 from filingloom.llm.neardup import all_pairs, groups, near_duplicates
 from filingloom.llm.spans import shared_spans
@@ -117,8 +118,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of which some text was read in another encoding than it was written in."""
+    found, _ = garbled(table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+    return found.select(F.col("k").alias("doc_id"))
+
+
+def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those documents with the chain of encodings and the text as it was written."""
+    return repaired(table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_texts": p1_texts, "p4_found": p4_found, "p4_shares": p4_shares, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_members": p5_members, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_texts": p1_texts, "p4_found": p4_found, "p4_shares": p4_shares, "p5_found": p5_found, "p5_pairs": p5_pairs, "p5_members": p5_members, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_repaired": p8_repaired}
 
 
 # White_Space of Unicode, as an RE2 class
