@@ -173,7 +173,12 @@ class CharacterModel:
 
 
 def _utf8_like(word: str) -> bool:
-    return any(undo(word) is not None for _, undo in chains()[: len(UTF8_READ_AS) + 1])
+    """Whether some reading of UTF-8 explains the word by characters of the alphabets that are modelled one by one, or by Han."""
+    for _, undo in chains()[: len(UTF8_READ_AS) + 1]:
+        was = undo(word)
+        if was is not None and all(c in word or _kind(c) == c or "\u3400" <= c <= "\u9fff" for c in was):
+            return True
+    return False
 
 
 def _parts(token: str) -> list[str]:
