@@ -72,6 +72,8 @@ def _utf8_undo(encoding: str) -> Callable[[str], str | None]:
 
     tail = chars(0x80, 0xBF)
     pattern = re.compile(f"{chars(0xC2, 0xDF)}{tail}|{chars(0xE0, 0xEF)}{tail}{{2}}|{chars(0xF0, 0xF4)}{tail}{{3}}")
+    # closing quotes whose last byte cp1252 doesn't have, and a grave a whose second half was taken for a space
+    bare = re.compile("(?<![A-Z\xc0-\xde])\xc3$")
     cut = re.compile(f"{chars(0xE2, 0xE2)}{chars(0x80, 0x80)}(?!{tail})[?{LOST}]?")
 
     def decode(m: re.Match) -> str:
@@ -83,8 +85,10 @@ def _utf8_undo(encoding: str) -> Callable[[str], str | None]:
     def undo(word: str) -> str | None:
         out = word
         for _ in range(5):
-            new = cut.sub("", pattern.sub(decode, out)) if encoding == "cp1252" else pattern.sub(decode, out)
-            if new == out or not new:
+            new = pattern.sub(decode, out)
+            if encoding == "cp1252":
+                new = bare.sub("\xe0", cut.sub(chr(0x201D), new))
+            if new == out:
                 break
             out = new
         return out if out != word else None
