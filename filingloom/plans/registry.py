@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from filingloom.plans import records
+from filingloom.plans import analytics, records
 
-_MODULES = (records,)
+_MODULES = (analytics, records)
 
 
 def queries() -> dict:
