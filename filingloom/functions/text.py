@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as the scripts that wrote the tables count it, and the line breaks.
-_WIDE = "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-SPACE = rf"[\s\x1c-\x1f\x85\xa0{_WIDE}]"
+_WIDE = "".join(map(chr, [0x1680, 0x2000])) + "-" + "".join(map(chr, [0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_SPACES = rf"\t-\r\x1c- \x85\xa0{_WIDE}"
+_WIDE_SPACES = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE = f"[{_SPACES}]"
 BREAK = rf"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85{chr(0x2028)}{chr(0x2029)}]"
 
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}++$", "")
 
 
 def words(c: Column) -> Column:
@@ -22,7 +24,10 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(F.coalesce(c, F.lit(""))))
+    # wide spaces as plain ones, then one letter for each word: classes of plain characters are matched fastest
+    plain = F.translate(c, _WIDE_SPACES, " " * len(_WIDE_SPACES))
+    letters = F.regexp_replace(plain, r"[\t-\r\x1c- ]*+[^\t-\r\x1c- ]++[\t-\r\x1c- ]*+", "x")
+    return F.when(plain.rlike(r"[^\t-\r\x1c- ]"), F.length(letters)).otherwise(0)
 
 
 def line_count(c: Column) -> Column:
@@ -36,9 +41,9 @@ def paragraphs(c: Column, separator: str = r"\n\s*\n") -> Column:
     return F.filter(F.transform(F.split(c, separator), trimmed), lambda x: x != "")
 
 
-def term_count(c: Column, term: str) -> Column:
-    """Occurrences of a term that don't overlap; as a substring, whatever the case."""
-    low = F.lower(c)
+def term_count(c: Column, term: str, lowered: bool = False) -> Column:
+    """Occurrences of a term that don't overlap; as a substring, whatever the case. ``lowered``: the text is in lower case."""
+    low = c if lowered else F.lower(c)
     return ((F.length(low) - F.length(F.replace(low, F.lit(term.lower()), F.lit("")))) / len(term)).cast("int")
 
 

@@ -15,20 +15,21 @@ def fold(parts: Column, size: int = 500, overlap: int = 50, least: int = 100) ->
     ``overlap`` words if it is longer. What is left at the end is kept from ``least`` words on; a paragraph over
     ``size`` is never cut.
     """
-    empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.expr("cast(array() as array<string>)").alias("cur"), F.lit(0).alias("wc"))
+    none = "cast(array() as array<struct<p:string,n:int>>)"
+    empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.expr(none).alias("cur"), F.lit(0).alias("wc"))
+    text = lambda cur: F.array_join(F.transform(cur, lambda x: x["p"]), "\n\n")
+    counted = F.transform(parts, lambda p: F.struct(p.alias("p"), word_count(p).alias("n")))
 
     def merge(acc: Column, p: Column) -> Column:
-        pw = word_count(p)
         last = F.element_at(acc["cur"], -1)
-        seed = F.when(word_count(last) <= overlap, last).otherwise(F.array_join(F.slice(words(last), -overlap, overlap), " "))
-        seed_words = F.least(word_count(last), F.lit(overlap))
-        full = (acc["wc"] + pw > size) & (F.size(acc["cur"]) > 0)
-        closed = F.struct(F.concat(acc["done"], F.array(F.array_join(acc["cur"], "\n\n"))).alias("done"), F.array(seed, p).alias("cur"), (seed_words + pw).alias("wc"))
-        open_ = F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(p)).alias("cur"), (acc["wc"] + pw).alias("wc"))
+        seed = F.when(last["n"] <= overlap, last).otherwise(F.struct(F.array_join(F.slice(words(last["p"]), -overlap, overlap), " ").alias("p"), F.lit(overlap).alias("n")))
+        full = (acc["wc"] + p["n"] > size) & (F.size(acc["cur"]) > 0)
+        closed = F.struct(F.concat(acc["done"], F.array(text(acc["cur"]))).alias("done"), F.array(seed, p).alias("cur"), (F.least(last["n"], F.lit(overlap)) + p["n"]).alias("wc"))
+        open_ = F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(p)).alias("cur"), (acc["wc"] + p["n"]).alias("wc"))
         return F.when(full, closed).otherwise(open_)
 
-    ended = F.aggregate(parts, empty, merge)
-    return F.when(ended["wc"] >= least, F.concat(ended["done"], F.array(F.array_join(ended["cur"], "\n\n")))).otherwise(ended["done"])
+    finish = lambda end: F.when(end["wc"] >= least, F.concat(end["done"], F.array(text(end["cur"])))).otherwise(end["done"])
+    return F.aggregate(counted, empty, merge, finish)
 
 
 def chunk_rows(df: DataFrame, keys: list[str], text: str, size: int = 500, overlap: int = 50, least: int = 100) -> DataFrame:

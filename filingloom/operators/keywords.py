@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.functions.text import term_count
-
 Dictionary = list[tuple[str, str, str]]
 
 
-def group_counts(text: Column, dictionary: Dictionary) -> Column:
-    """``ARRAY<STRUCT<grp, polarity, n>>`` of a text, one element a group, as constant expressions: no join, no row for each term."""
+def group_counts(low: Column, dictionary: Dictionary) -> Column:
+    """``ARRAY<STRUCT<grp, polarity, n>>`` of a lower-case text, one element a group, without a join or a row for each term."""
     groups: dict[tuple[str, str], list[str]] = {}
     for g, t, p in dictionary:
         groups.setdefault((g, p), []).append(t)
-    return F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(p).alias("polarity"), sum((F.coalesce(term_count(text, t), F.lit(0)) for t in ts[1:]), F.coalesce(term_count(text, ts[0]), F.lit(0))).alias("n")) for (g, p), ts in groups.items()])
+    # one small expression over a constant array: an expression for each term would outgrow what the JVM compiles
+    table = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(p).alias("polarity"), F.array(*[F.lit(t.lower()) for t in ts]).alias("terms")) for (g, p), ts in groups.items()])
+    text = F.coalesce(low, F.lit(""))
+    mentions = lambda t: ((F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)).cast("int")
+    return F.transform(table, lambda g: F.struct(g["grp"].alias("grp"), g["polarity"].alias("polarity"), F.aggregate(g["terms"], F.lit(0), lambda a, t: a + mentions(t)).alias("n")))
 
 
 def sizes(dictionary: Dictionary) -> dict[str, int]:

@@ -14,7 +14,7 @@ from filingloom.functions import text as T
 from filingloom.functions.dictionary import FOLLOW_UPS, INDUSTRIAL, SYNONYMS
 from filingloom.operators import asof, chunks, history, keywords, metrics, retrieval, scores, sections, status
 from filingloom.sources.files import file_keys
-from filingloom.sources.tables import section_key, table
+from filingloom.sources.tables import section_key, spread, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -69,7 +69,8 @@ fs AS (SELECT f0.*, words, {_SIGNAL('overall')} AS signal FROM f0 JOIN wd ON f0.
 
 def _sections(s: SparkSession, d: str, *extra: Column) -> DataFrame:
     """Sections with clean keys, one row an id; what is computed from the text is computed before rows are made distinct."""
-    df = table(s, d, "sections", "section_id", "filing_id", "ticker", "filing_date", "section", "section_text")
+    df = spread(table(s, d, "sections", "section_id", "filing_id", "ticker", "filing_date", "section", "section_text"))
+    df = df.withColumn("low", F.lower(_text()))
     keys = ["section_id", "filing_id", F.upper(F.trim("ticker")).alias("ticker"), "filing_date", section_key("section").alias("section")]
     return df.select(*keys, *extra).distinct()
 
@@ -79,7 +80,7 @@ def _text() -> Column:
 
 
 def _counted(s: SparkSession, d: str) -> DataFrame:
-    return _sections(s, d, keywords.group_counts(_text(), INDUSTRIAL).alias("counts"), T.word_count(_text()).alias("words"))
+    return _sections(s, d, keywords.group_counts(F.col("low"), INDUSTRIAL).alias("counts"), T.word_count(_text()).alias("words"))
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
@@ -96,7 +97,7 @@ def _filings(s: SparkSession, d: str) -> DataFrame:
 
 
 def _groups(s: SparkSession, d: str) -> DataFrame:
-    rows = _counted(s, d).select("section_id", "filing_id", "ticker", "filing_date", "section", F.explode("counts").alias("c"))
+    rows = _counted(s, d).select("section_id", "filing_id", "ticker", "filing_date", "section", F.explode_outer("counts").alias("c"))
     return rows.select("section_id", "filing_id", "ticker", "filing_date", "section", "c.*")
 
 
@@ -114,7 +115,7 @@ _DATED = f"{_KW}, dated AS (SELECT ticker, filing_date, grp, polarity, sum(n)::B
 def section_stats(s: SparkSession, d: str) -> DataFrame:
     """Characters, words and lines of every text."""
     t = F.col("text")
-    return table(s, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.length(t).alias("chars"), T.word_count(t).alias("words"), T.line_count(t).alias("lines"))
+    return spread(table(s, d, "documents", "doc_id", "text")).where("text is not null").select("doc_id", F.length(t).alias("chars"), T.word_count(t).alias("words"), T.line_count(t).alias("lines"))
 
 
 _PARTS = lambda c: f"list_filter(list_transform(regexp_split_to_array({c}, '\\n\\s*\\n'), lambda x: {_TRIM('x')}), lambda x: x <> '')"
@@ -123,7 +124,7 @@ _PARTS = lambda c: f"list_filter(list_transform(regexp_split_to_array({c}, '\\n\
 @query(f"SELECT doc_id, len(p) AS paragraphs, list_sum(list_transform(p, lambda x: length(x)))::BIGINT AS chars FROM (SELECT doc_id, {_PARTS('text')} AS p FROM documents WHERE text IS NOT NULL) WHERE len(p) > 0")
 def paragraphs(s: SparkSession, d: str) -> DataFrame:
     """Paragraphs of every text and their characters."""
-    p = table(s, d, "documents", "doc_id", "text").select("doc_id", T.paragraphs(F.col("text")).alias("p")).where(F.size("p") > 0)
+    p = spread(table(s, d, "documents", "doc_id", "text")).select("doc_id", T.paragraphs(F.col("text")).alias("p")).where(F.size("p") > 0)
     return p.select("doc_id", F.size("p").alias("paragraphs"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
@@ -135,7 +136,7 @@ def rag_paragraphs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    df = table(s, d, "filings", "filing_id", "ticker", "full_document").where("full_document is not null")
+    df = spread(table(s, d, "filings", "filing_id", "ticker", "full_document")).where("full_document is not null")
     return chunks.chunk_rows(df.withColumn("ticker", F.upper(F.trim("ticker"))), ["filing_id", "ticker"], "full_document").distinct()
 
 
@@ -154,7 +155,7 @@ def chunk_summary(s: SparkSession, d: str) -> DataFrame:
 @query()
 def section_extract(s: SparkSession, d: str) -> DataFrame:
     """The three sections of every filing, found by their headings."""
-    return sections.extract(table(s, d, "filings", "filing_id", "full_document"), ["filing_id"], "full_document").distinct()
+    return sections.extract(spread(table(s, d, "filings", "filing_id", "full_document")), ["filing_id"], "full_document").distinct()
 
 
 _CLEAN = f"{_TRIM(chr(114) + 'egexp_replace(regexp_replace(regexp_replace(full_document, ' + chr(39) + '\\n{3,}' + chr(39) + ', E' + chr(39) + '\\n\\n' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '\\n[A-Za-z\\s]+\\|\\s*\\d{4}\\s*Form\\s*10-K\\s*\\|\\s*\\d+\\n' + chr(39) + ', E' + chr(39) + '\\n' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '\\|[\\s\\-|]+\\|' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}"
@@ -163,7 +164,7 @@ _CLEAN = f"{_TRIM(chr(114) + 'egexp_replace(regexp_replace(regexp_replace(full_d
 @query(f"SELECT DISTINCT filing_id, length(c) AS chars, sha256(c) AS digest FROM (SELECT filing_id, {_CLEAN} AS c FROM filings WHERE full_document IS NOT NULL)")
 def section_clean(s: SparkSession, d: str) -> DataFrame:
     """Filings without long gaps, page footers and rules of tables."""
-    c = table(s, d, "filings", "filing_id", "full_document").where("full_document is not null").select("filing_id", T.clean_section(F.col("full_document")).alias("c"))
+    c = spread(table(s, d, "filings", "filing_id", "full_document")).where("full_document is not null").select("filing_id", T.clean_section(F.col("full_document")).alias("c"))
     return c.select("filing_id", F.length("c").alias("chars"), F.sha2("c", 256).alias("digest")).distinct()
 
 
