@@ -222,21 +222,18 @@ def shared_spans(records: DataFrame, length: int = 300) -> DataFrame:
     if length <= ANCHOR:
         raise ValueError(f"length must be more than {ANCHOR}")
     records = records.where("rec is not null and t is not null")
-    by_anchor, by_unit = Window.partitionBy("anchor"), Window.partitionBy("anchor", "unit")
-    met = (
-        _all_units(records, length)
-        .repartition("anchor")
-        .withColumns({"k1": F.min("rec").over(by_anchor), "k2": F.max("rec").over(by_anchor)})
-        .where("k1 < k2")
-        .withColumns({"other": F.max("rec").over(by_unit), "least": F.min("rec").over(by_unit), "n": F.row_number().over(by_unit.orderBy("rec", "lo"))})
-        .withColumn("whole", F.col("least") < F.col("other"))
-        # units whose text is needed: those found in one record only, and one of each that several have
-        .withColumn("needed", ~F.col("whole") | (F.col("n") == 1))
-        .withColumn("group", F.sum(F.col("needed").cast("long")).over(by_anchor))
-        .withColumn("alone", F.min(F.col("whole")).over(by_anchor))
-        .select("anchor", "rec", "lo", "hi", "other", "whole", (F.col("needed") & (F.col("group") > 1) & ~F.col("alone")).alias("needed"), "group")
-    )
-    met = written(met)
+    found = written(_all_units(records, length))
+    # anchors of two records or more; reduced on the map side, so a hot passage is a few rows a task
+    anchors = found.groupBy("anchor").agg(F.min("rec").alias("k1"), F.max("rec").alias("k2")).where("k1 < k2").select("anchor")
+    # a hot anchor is split over tasks by the skew join: the other side has one row for it
+    met = written(found.join(anchors, "anchor"))
+    by_unit = met.groupBy("anchor", "unit").agg(F.min(F.struct("rec", "lo")).alias("first"), F.max("rec").alias("other"), F.count("*").alias("n"))
+    by_unit = by_unit.withColumn("whole", F.col("first.rec") < F.col("other"))
+    # units whose text is needed: those found in one record only, and one of each that several have
+    groups = by_unit.groupBy("anchor").agg(F.sum(F.when(F.col("whole"), 1).otherwise(F.col("n"))).alias("group"), F.min("whole").alias("alone"))
+    met = met.join(by_unit.drop("n"), ["anchor", "unit"]).join(groups, "anchor")
+    needed = ~F.col("alone") & (F.col("group") > 1) & (~F.col("whole") | (F.struct("rec", "lo") == F.col("first")))
+    met = written(met.select("anchor", "rec", "lo", "hi", "other", "whole", needed.alias("needed"), "group"))
     whole = met.where("whole").select("rec", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
     places = met.where("needed").groupBy("rec").agg(F.collect_list(F.struct("anchor", "other", "lo", "hi", "group")).alias("u"))
     texts = records.where(F.length("t") >= length).dropDuplicates(["rec"])
