@@ -53,7 +53,7 @@ def trend(df: DataFrame, entity: str, *order: str, flat: float = 0.05) -> DataFr
     d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
     old = F.col("_i") < F.floor(F.col("_n") / 2)
     out = d.groupBy(entity).agg(F.avg(F.when(old, F.col("overall"))).alias("older"), F.avg(F.when(~old, F.col("overall"))).alias("newer"), F.count("*").alias("filings"))
-    gap = F.col("newer") - F.col("older")
+    gap = F.round(F.col("newer") - F.col("older"), 9)  # means of the same numbers in another order
     return out.withColumn("trend", F.when(gap > flat, "improving").when(gap < -flat, "deteriorating").otherwise("stable"))
 
 

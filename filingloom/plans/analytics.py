@@ -62,7 +62,7 @@ _SIGNAL = lambda x: f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} >= 0.5 THEN 'STRO
 _SC = f"""{_KW}, tot AS (SELECT section_id, filing_id, ticker, filing_date, section, sum(n) FILTER (WHERE polarity = 'bear') / {_NB}.0 AS b, sum(n) FILTER (WHERE polarity = 'bull') / {_NU}.0 AS u FROM kw GROUP BY ALL),
 sc AS (SELECT section_id, filing_id, ticker, filing_date, section, greatest(-1.0, least(1.0, coalesce(CASE WHEN u + b > 0 THEN 0.5 * (u - b) / (u + b) END, 0.0)))::DOUBLE AS score FROM tot)"""
 _FS = f"""{_SC}, wd AS (SELECT filing_id, ticker, filing_date, sum({_WORDS('t')})::BIGINT AS words FROM sec GROUP BY ALL),
-f0 AS (SELECT filing_id, ticker, filing_date, sum(score * w) / sum(w) AS overall, avg(score) FILTER (WHERE section = 'item_1a') AS item_1a, avg(score) FILTER (WHERE section = 'item_7') AS item_7, avg(score) FILTER (WHERE section = 'item_8') AS item_8
+f0 AS (SELECT filing_id, ticker, filing_date, round(sum(score * w) / sum(w), 9) + 0.0 AS overall, avg(score) FILTER (WHERE section = 'item_1a') AS item_1a, avg(score) FILTER (WHERE section = 'item_7') AS item_7, avg(score) FILTER (WHERE section = 'item_8') AS item_8
   FROM (SELECT *, CASE section WHEN 'item_1a' THEN 0.25 WHEN 'item_7' THEN 0.60 WHEN 'item_8' THEN 0.15 ELSE 1.0 / 3 END::DOUBLE AS w FROM sc) GROUP BY ALL),
 fs AS (SELECT f0.*, words, {_SIGNAL('overall')} AS signal FROM f0 JOIN wd ON f0.filing_id = wd.filing_id AND f0.ticker IS NOT DISTINCT FROM wd.ticker AND f0.filing_date IS NOT DISTINCT FROM wd.filing_date)"""
 
@@ -92,7 +92,7 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 def _filings(s: SparkSession, d: str) -> DataFrame:
     w = scores.weight_of(F.col("section"))
     of = lambda x: F.avg(F.when(F.col("section") == x, F.col("score"))).alias(x)
-    f = _scored(s, d).groupBy("filing_id", "ticker", "filing_date").agg(scores.weighted_mean(F.col("score"), w).alias("overall"), of("item_1a"), of("item_7"), of("item_8"), F.sum("words").alias("words"))
+    f = _scored(s, d).groupBy("filing_id", "ticker", "filing_date").agg((F.round(scores.weighted_mean(F.col("score"), w), 9) + 0.0).alias("overall"), of("item_1a"), of("item_7"), of("item_8"), F.sum("words").alias("words"))
     return f.withColumn("signal", scores.signal(F.col("overall")))
 
 
@@ -220,7 +220,7 @@ def signal_hist(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_FS} SELECT filing_id, ticker, filing_date, round(overall, 6) AS overall, round(item_1a, 6) AS item_1a, round(item_7, 6) AS item_7, round(item_8, 6) AS item_8, words, signal FROM fs")
 def filing_scores(s: SparkSession, d: str) -> DataFrame:
-    """Section-weighted score of each filing."""
+    """Section-weighted score of each filing, without the last places of the sum, which depend on its order."""
     return r6(_filings(s, d))
 
 
@@ -330,7 +330,7 @@ def yoy_delta(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_FZ}, i AS (SELECT ticker, overall, row_number() OVER (PARTITION BY ticker ORDER BY filing_date, filing_id) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM fz),
 h AS (SELECT ticker, avg(overall) FILTER (WHERE i < n // 2) AS older, avg(overall) FILTER (WHERE i >= n // 2) AS newer, count(*) AS filings FROM i GROUP BY ticker)
-SELECT ticker, round(older, 6) AS older, round(newer, 6) AS newer, filings, CASE WHEN newer - older > 0.05 THEN 'improving' WHEN newer - older < -0.05 THEN 'deteriorating' ELSE 'stable' END AS trend FROM h""")
+SELECT ticker, round(older, 6) AS older, round(newer, 6) AS newer, filings, CASE WHEN round(newer - older, 9) > 0.05 THEN 'improving' WHEN round(newer - older, 9) < -0.05 THEN 'deteriorating' ELSE 'stable' END AS trend FROM h""")
 def trend(s: SparkSession, d: str) -> DataFrame:
     """Direction of each ticker's score, older half against newer half."""
     return r6(history.trend(_known(_filings(s, d)), "ticker", "filing_date", "filing_id"))
