@@ -7,12 +7,26 @@ from collections.abc import Iterator
 from typing import Any
 
 BOM = chr(0xFEFF)
+#: Levels of nesting beyond which a payload is no record.
+DEEPEST = 200
+
+
+def _too_deep(payload: str, value: Any) -> bool:
+    """Whether a value has more than ``DEEPEST`` levels; payloads with few brackets aren't walked."""
+    if payload.count("{") + payload.count("[") <= DEEPEST:
+        return False
+    level = [value]
+    for _ in range(DEEPEST + 1):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
 
 
 def read_record(payload: str | None) -> dict[str, Any] | None:
     """The record of a payload: without a leading byte order mark, and taken out of a JSON string that holds it.
 
-    Null, incomplete JSON, JSON nested too deeply to be read, and JSON that isn't an object are no record.
+    Null, incomplete JSON, JSON nested over ``DEEPEST`` levels, and JSON that isn't an object are no record.
     Of a key written twice in one object the last counts.
     """
     for _ in range(2):
@@ -23,7 +37,7 @@ def read_record(payload: str | None) -> dict[str, Any] | None:
         except (ValueError, RecursionError):
             return None
         if isinstance(value, dict):
-            return value
+            return None if _too_deep(payload, value) else value
         if not isinstance(value, str):
             return None
         payload = value

@@ -689,3 +689,58 @@ def fusion(s: SparkSession, d: str) -> DataFrame:
     """Two rankings of the same questions fused by the best score."""
     k = _keyword(s, d).drop("rank")
     return r6(retrieval.fuse(k.unionByName(k.withColumn("share", F.col("share") / 2)), "q_key", ["doc_id"], "share", 3))
+
+
+# ---- joined views and reads -----------------------------------------------------------------------------------------
+
+
+@query(_ENSEMBLE + f", two AS (SELECT fs.filing_id, fs.signal, {_SIGNAL('z.score')} AS blended FROM fs LEFT JOIN z ON z.filing_id = fs.filing_id AND z.keywords IS NOT NULL) SELECT filing_id, signal, blended, signal IS DISTINCT FROM blended AS differs FROM two")
+def signal_vs_blend(s: SparkSession, d: str) -> DataFrame:
+    """The signal of every filing beside the blended one, where both components are there."""
+    e = _blended(s, d).where("keywords is not null").select("filing_id", scores.signal(F.col("score")).alias("blended"))
+    return _filings(s, d).select("filing_id", "signal").join(e, "filing_id", "left").withColumn("differs", ~F.col("signal").eqNullSafe(F.col("blended")))
+
+
+@query(f"WITH {_SC}, f AS (SELECT DISTINCT filing_id FROM filings), n(section) AS (VALUES ('item_1a'), ('item_7'), ('item_8')), s AS (SELECT filing_id, section, avg(score) AS score FROM sc GROUP BY ALL) SELECT f.filing_id, n.section, round(coalesce(score, 0), 6) AS compound, CASE WHEN score IS NULL THEN 'N/A' ELSE {_SIGNAL('score')} END AS signal FROM f CROSS JOIN n LEFT JOIN s ON s.filing_id = f.filing_id AND s.section = n.section")
+def default_sections(s: SparkSession, d: str) -> DataFrame:
+    """All three sections of every filing, those that are missing with a score of 0 and no signal."""
+    own = _scored(s, d).groupBy("filing_id", "section").agg(F.avg("score").alias("score"))
+    names = F.explode(F.array(*[F.lit(x) for x in history.SECTIONS])).alias("section")
+    out = table(s, d, "filings", "filing_id").distinct().select("filing_id", names).join(own, ["filing_id", "section"], "left")
+    return r6(out.select("filing_id", "section", F.coalesce("score", F.lit(0.0)).alias("compound"), F.coalesce(scores.signal(F.col("score")), F.lit("N/A")).alias("signal")))
+
+
+@query(f"WITH {_FS} SELECT filing_id, filing_date, signal FROM fs WHERE ticker = 'YRSTZ' AND filing_date IS NOT NULL ORDER BY filing_date DESC, filing_id DESC LIMIT 50")
+def recent_rows(s: SparkSession, d: str) -> DataFrame:
+    """The 50 newest results of one ticker."""
+    return _filings(s, d).where("ticker = 'YRSTZ' and filing_date is not null").select("filing_id", "filing_date", "signal").orderBy(F.desc("filing_date"), F.desc("filing_id")).limit(50)
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND text <> '') AS with_text, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT label) FROM embeddings) AS labels")
+def index_stats(s: SparkSession, d: str) -> DataFrame:
+    """What is indexed."""
+    docs = table(s, d, "documents", "text").agg(F.count("*").alias("documents"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("with_text"))
+    return docs.crossJoin(table(s, d, "embeddings", "label").agg(F.count("*").alias("vectors"), F.countDistinct("label").alias("labels")))
+
+
+@query(f"WITH {_SM}, g AS (SELECT window_days, count(*) FILTER (WHERE s = m AND s <> 0) / nullif(count(*) FILTER (WHERE s <> 0 AND m <> 0), 0)::DOUBLE AS a FROM sm GROUP BY 1), w AS (SELECT max(a) FILTER (WHERE window_days = 1) AS a, max(a) FILTER (WHERE window_days = 7) AS b FROM g) SELECT CASE WHEN a > b THEN 'one day' WHEN b > a THEN 'seven days' ELSE 'Tie' END AS winner FROM w")
+def winner(s: SparkSession, d: str) -> DataFrame:
+    """Which of two windows the signals suit better."""
+    m = metrics.summary(_backtest(s, d), ["window_days"])
+    of = lambda n: F.max(F.when(F.col("window_days") == n, F.col("directional_accuracy")))
+    return m.agg(of(1).alias("a"), of(7).alias("b")).select(metrics.better_of(F.col("a"), F.col("b"), "one day", "seven days").alias("winner"))
+
+
+@query(f"WITH {_TG}, top AS (SELECT * FROM gg WHERE accuracy > 0 ORDER BY hits / total DESC, cell LIMIT 1), used AS (SELECT hits / total AS now FROM gg WHERE cell = 35) SELECT top.cell, top.accuracy, top.hits / top.total - now > 0.01 AS adopt FROM top, used")
+def recommend_thresholds(s: SparkSession, d: str) -> DataFrame:
+    """Whether the best thresholds are worth adopting over those in use (cell 35: sell below -.20, buy from .20)."""
+    grid = metrics.threshold_grid(_backtest(s, d))
+    now = grid.where("cell = 35").select(F.col("accuracy").alias("now"))
+    best = metrics.first_best(grid).crossJoin(now)
+    return r6(best.select("cell", "accuracy", (F.col("accuracy") - F.col("now") > 0.01).alias("adopt")))
+
+
+@query("SELECT DISTINCT filing_date FROM filings WHERE filing_date IS NOT NULL UNION SELECT filing_date FROM raw_records WHERE filing_date IS NOT NULL")
+def status_union(s: SparkSession, d: str) -> DataFrame:
+    """All days on which anything was filed or recorded."""
+    return table(s, d, "filings", "filing_date").unionByName(table(s, d, "raw_records", "filing_date")).where("filing_date is not null").distinct()

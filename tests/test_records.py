@@ -27,6 +27,8 @@ def test_read_record():
     assert read_record(bom + '{"a": 1}') == {"a": 1} == read_record(json.dumps('{"a": 1}')) == read_record(bom + json.dumps('{"a": 1}'))
     for bad in (None, "", '{"a": ', "[1]", "3", '"x"', "[" * 100000):
         assert read_record(bad) is None
+    nest = lambda n: '{"a":' * n + "1" + "}" * n
+    assert read_record(nest(199)) is not None and read_record(nest(400)) is None
     assert bare("Item 1A") == bare("item_1a") == bare("1a") == "1a"
 
 
@@ -114,6 +116,14 @@ def test_sections_and_contexts(spark):
     assert found(spark, "anomalies", {"anomalies": None}) == []
 
 
+def test_nulls_and_long_payloads(spark):
+    rows = [(None, 1, "metadata", "a", 0, 0, {"tables": {"summary": [{"rows": 1}]}}), (1, None, None, None, None, None, None), (2, 1, "metadata", None, None, None, {"tables": {"summary": [{"index": i} for i in range(5000)]}, "text": "x" * 300000}), (3, 1, "anomalies", "b", 0, 0, '{"anomalies": [{"context": "' )]
+    got = nested.links(raw(spark, rows)).where("child = 'table'")
+    assert {r.record_id for r in got.collect()} == {2} and got.count() == 5000
+    assert drift.schema_changes(raw(spark, rows)).count() == 0 and drift.one_table(raw(spark, rows)).count() == 0
+    assert nested.links(raw(spark, [])).count() == 0 and drift.one_table(raw(spark, [])).count() == 0
+
+
 def test_equal_subtrees_have_one_identity(spark):
     rows = [(i, 1, "metadata", "a", 0, 0, {"tables": {"summary": s}}) for i, s in enumerate([[{"index": 0, "rows": 2}], [{"rows": 2, "index": 0}, {"index": 1}]])]
     linked = nested.links(raw(spark, rows)).cache()
