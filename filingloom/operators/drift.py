@@ -13,10 +13,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.functions.records import fields, kind_of, read_record, shape
+from filingloom.operators.history import previous_in
 
 _SHAPE = "array<struct<path:string,name:string,own:string,kind:string>>"
 
@@ -48,22 +49,6 @@ def with_shape(files: DataFrame) -> DataFrame:
     return out.withColumn("fingerprint", F.xxhash64(F.to_json(F.array_sort(F.col("shape")))))
 
 
-def previous_in(df: DataFrame, run: str, order: list[str], value: Column, alias: str) -> DataFrame:
-    """Adds the value of the row before, by ``order``, within ``run``.
-
-    A run may be long, so it isn't sorted in one task: rows are sorted within (run, month), and the first row of
-    a month takes the last value of the month before it that has rows, from a table of one row a run and month.
-    """
-    month = F.date_format(order[0], "yyyyMM")
-    rows = df.withColumn("_m", month).withColumn("_v", value)
-    w = Window.partitionBy(run, "_m").orderBy(*order)
-    inner = rows.withColumn("_p", F.lag("_v").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    ends = rows.groupBy(run, "_m").agg(F.max_by("_v", F.struct(*order)).alias("_e"))
-    ends = ends.select(F.col(run).alias("_run"), F.col("_m").alias("_month"), F.lag("_e").over(Window.partitionBy(run).orderBy("_m")).alias("_e"))
-    joined = inner.join(ends, F.col("_first") & (F.col(run) == F.col("_run")) & (F.col("_m") == F.col("_month")), "left")
-    return joined.withColumn(alias, F.when(F.col("_first"), F.col("_e")).otherwise(F.col("_p"))).drop("_m", "_v", "_p", "_first", "_run", "_month", "_e")
-
-
 def compare(before: list[Any], now: list[Any]) -> list[tuple[str, str]]:
     """``(path, change)`` between two shapes.
 

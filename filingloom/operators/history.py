@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 SECTIONS = ("item_1a", "item_7", "item_8")
 
 
+def previous_in(df: DataFrame, run: str, order: list[str], value: Column, alias: str) -> DataFrame:
+    """Adds the value of the row before, by ``order``, within ``run``.
+
+    A run may be long, so it isn't sorted in one task: rows are sorted within (run, month), and the first row of
+    a month takes the last value of the month before it that has rows, from a table of one row a run and month.
+    """
+    month = F.date_format(order[0], "yyyyMM")
+    rows = df.withColumn("_m", month).withColumn("_v", value)
+    w = Window.partitionBy(run, "_m").orderBy(*order)
+    inner = rows.withColumn("_p", F.lag("_v").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    ends = rows.groupBy(run, "_m").agg(F.max_by("_v", F.struct(*order)).alias("_e"))
+    ends = ends.select(F.col(run).alias("_run"), F.col("_m").alias("_month"), F.lag("_e").over(Window.partitionBy(run).orderBy("_m")).alias("_e"))
+    joined = inner.join(ends, F.col("_first") & (F.col(run) == F.col("_run")) & (F.col("_m") == F.col("_month")), "left")
+    return joined.withColumn(alias, F.when(F.col("_first"), F.col("_e")).otherwise(F.col("_p"))).drop("_m", "_v", "_p", "_first", "_run", "_month", "_e")
+
+
 def ranked(df: DataFrame, entity: str, *order: str) -> DataFrame:
     """Adds ``nth``, counting an entity's rows from its newest, and ``of``, how many there are."""
     newest = Window.partitionBy(entity).orderBy(*[F.desc(o) for o in order])
@@ -23,15 +39,15 @@ def latest(df: DataFrame, entity: str, *order: str) -> DataFrame:
 def shifts(sections: DataFrame, entity: str, filing: list[str], threshold: float = 0.15) -> DataFrame:
     """Changes of a section's score of at least ``threshold`` from one filing of the entity to the next.
 
-    Rows are one a (filing, section). Filings are numbered per entity and joined with the one before, so a section
-    that the filing before lacks has no change; ``lag`` by section would jump over that filing.
+    Rows are one a (filing, section). Each filing is linked to the one before and the sections are joined over that, so a
+    section that the filing before lacks has no change; ``lag`` by section would jump over that filing.
     """
-    numbers = sections.select(entity, *filing).distinct()
-    numbers = numbers.withColumn("no", F.row_number().over(Window.partitionBy(entity).orderBy(*filing)))
-    now = sections.join(numbers, [entity, *filing])
-    before = now.select(F.col(entity), "section", (F.col("no") + 1).alias("no"), F.col("score").alias("before"))
+    keys = [entity, *filing]
+    links = previous_in(sections.select(*keys).distinct(), entity, filing, F.struct(*filing), "_back").where("_back is not null")
+    old = sections.select(F.col(entity), *[F.col(c).alias(f"_{c}") for c in filing], "section", F.col("score").alias("before"))
+    now = sections.join(links.select(*keys, *[F.col(f"_back.{c}").alias(f"_{c}") for c in filing]), keys)
     delta = F.col("score") - F.col("before")
-    out = now.join(before, [entity, "section", "no"]).withColumn("delta", delta).where(F.abs(delta) >= threshold)
+    out = now.join(old, [entity, *[f"_{c}" for c in filing], "section"]).drop(*[f"_{c}" for c in filing]).withColumn("delta", delta).where(F.abs(delta) >= threshold)
     return out.withColumn("severity", F.when(F.abs("delta") >= 2 * threshold, "high").otherwise("medium")).withColumn("direction", F.when(F.col("delta") > 0, "positive").otherwise("negative"))
 
 
@@ -41,10 +57,10 @@ def severity_rank(severity: Column) -> Column:
 
 def year_over_year(df: DataFrame, entity: str, *order: str) -> DataFrame:
     """Each filing against the entity's filing before: overall, each section's score (missing ones as 0), words, signal."""
-    w = Window.partitionBy(entity).orderBy(*order)
     filled = df.withColumns({s: F.coalesce(s, F.lit(0.0)) for s in SECTIONS})
-    deltas = {f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in ("overall", *SECTIONS, "words")}
-    return filled.withColumns({**deltas, "signal_changed": F.col("signal") != F.lag("signal").over(w), "_n": F.row_number().over(w)}).where("_n > 1").drop("_n")
+    kept = ("overall", *SECTIONS, "words")
+    y = previous_in(filled, entity, list(order), F.struct(*kept, "signal"), "_b").where("_b is not null")
+    return y.withColumns({**{f"{c}_delta": F.col(c) - F.col(f"_b.{c}") for c in kept}, "signal_changed": F.col("signal") != F.col("_b.signal")}).drop("_b")
 
 
 def trend(df: DataFrame, entity: str, *order: str, flat: float = 0.05) -> DataFrame:
@@ -59,14 +75,14 @@ def trend(df: DataFrame, entity: str, *order: str, flat: float = 0.05) -> DataFr
 
 def extremes(df: DataFrame, entity: str, *order: str) -> DataFrame:
     """Mean, least, greatest and range of the overall score, and the dates of the greatest rise and fall (the first of ties)."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    d = df.withColumn("_d", F.col("overall") - F.lag("overall").over(w)).withColumn("_i", F.row_number().over(w))
+    d = previous_in(df, entity, list(order), F.struct("overall"), "_b").withColumn("_d", F.col("overall") - F.col("_b.overall"))
+    early = -F.datediff(order[0], F.lit("1900-01-01"))
     rise = F.when(F.max("_d") > 0, F.max("_d"))
     fall = F.when(F.min("_d") < 0, F.min("_d"))
     return d.groupBy(entity).agg(
         F.avg("overall").alias("mean"), F.min("overall").alias("least"), F.max("overall").alias("greatest"), (F.max("overall") - F.min("overall")).alias("range"),
-        rise.alias("rise"), fall.alias("fall"), F.max_by(order[0], F.when(F.col("_d") > 0, F.struct("_d", (-F.col("_i")).alias("i")))).alias("rise_date"),
-        F.max_by(order[0], F.when(F.col("_d") < 0, F.struct((-F.col("_d")).alias("d"), (-F.col("_i")).alias("i")))).alias("fall_date"),
+        rise.alias("rise"), fall.alias("fall"), F.max_by(order[0], F.when(F.col("_d") > 0, F.struct("_d", early.alias("i")))).alias("rise_date"),
+        F.max_by(order[0], F.when(F.col("_d") < 0, F.struct((-F.col("_d")).alias("d"), early.alias("i")))).alias("fall_date"),
     )
 
 
