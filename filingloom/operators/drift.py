@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions.records import fields, kind_of, read_record, shape
 from filingloom.operators.history import previous_in
+from filingloom.sources.tables import written
 
 _SHAPE = "array<struct<path:string,name:string,own:string,kind:string>>"
 
@@ -79,7 +80,8 @@ def schema_changes(raw: DataFrame, stage: str = "sentiment") -> DataFrame:
     changes. Two records of one run and day are ordered by record_id. Repeated rows give no repeated changes; an
     empty table gives an empty one; other columns are ignored.
     """
-    files = with_shape(latest_files(raw, stage))
+    # read once: the shapes are used for the links, for the store and for both sides of the pairs
+    files = written(with_shape(latest_files(raw, stage)))
     linked = previous_in(files.drop("shape"), "run_id", ["filing_date", "record_id"], F.col("fingerprint"), "before")
     moved = linked.where("before is not null and before <> fingerprint")
     store = files.groupBy("fingerprint").agg(F.first("shape").alias("shape"))
