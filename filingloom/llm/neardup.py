@@ -1,15 +1,15 @@
 """Near-duplicate texts (problem 5).
 
-Method: bottom-k sketches from one hash function, inverted lists of the retained values, an estimate from the
+Method: bottom-k sketches from one hash function, inverted lists of MinHash bands, an estimate from the
 union sketch, exact Jaccard on what remains.
 
 A text's shingles (runs of consecutive words) are hashed once; the ``SKETCH`` smallest values, in order, are
 its sketch. Filings are written from stock phrases, so a single retained value may stand in most texts and its
-list would pair everything with everything. The lists are therefore kept by *runs* of retained values that
-follow each other in the sketch, of rare values and of stock values apart: two rare values in a row tell a pair,
-of stock values (those in at least one in two hundred texts) eight in a row, of which every fourth run, chosen by its
-own hash, is listed. So a pair is found by what is rare in it, and a family so large that its own values have
-become stock is found by those. Texts of under 100 shingles list single rare values, of which a pair needs three; those of under 30 list the
+list would pair everything with everything. Texts of 100 shingles or more are therefore listed by bands of MinHash
+values, each band a key: two texts share one with a probability that depends on their Jaccard similarity alone, not on
+what else the table holds, and rows and bands are set so that a pair at the threshold is missed with a probability
+of at most ``MISSED``. Texts of under 100 shingles list single rare values, of which a pair needs three, and runs of
+eight stock values (those in at least one in two hundred texts); those of under 30 list the
 first ``n - ceil(J n) + 1`` of all their values, a prefix filter in hash order that misses nothing. Bands of
 length overlap by the factor J, so the two texts of a pair always meet in one band.
 
@@ -43,9 +43,13 @@ ESTIMATE = 64
 
 #: Share of the texts from which on a value is stock, and texts that it must at least be in.
 STOCK_SHARE, STOCK_LEAST = 0.005, 50
-RARE_RUN, STOCK_RUN, STOCK_EVERY = 2, 8, 4
-#: Weight of common keys that makes a pair a candidate: three rare values, one run in short texts, two in long ones.
+STOCK_RUN = 8
+#: Weight of common keys that makes a pair a candidate: three rare values, or one key of another kind.
 ENOUGH = 3
+#: Shingles from which on a text is listed by MinHash bands.
+LONG = 100
+#: Probability that two texts right at the threshold have no band in common, and bands that may be used to keep to it.
+MISSED, MOST_BANDS = 5e-5, 128
 
 
 def bands(threshold: float) -> list[tuple[int, int, int, str, int]]:
@@ -53,10 +57,20 @@ def bands(threshold: float) -> list[tuple[int, int, int, str, int]]:
 
     The shorter text of a pair is in one band's core, and the longer has at most 1 / threshold of its shingles.
     """
-    cores = [(1, 30, "prefix", ENOUGH), (30, 100, "single", 1), (100, 150, "runs", ENOUGH), (150, None, "runs", ENOUGH - 1)]
+    cores = [(1, 30, "prefix", ENOUGH), (30, LONG, "single", 1), (LONG, None, "minhash", ENOUGH)]
     return [(i, low, 1 << 60 if high is None else math.ceil(high / threshold) + 1, *rest) for i, (low, high, *rest) in enumerate(cores)]
 
 
+def minhash_shape(threshold: float) -> tuple[int, int]:
+    """``(bands, rows)``: the most rows a band for which at most ``MOST_BANDS`` bands keep to ``MISSED`` at the threshold."""
+    for rows in range(32, 0, -1):
+        hit = threshold**rows
+        needed = math.ceil(math.log(MISSED) / math.log1p(-hit)) if hit < 1 else 1
+        if needed <= MOST_BANDS:
+            break
+    return needed, rows
+
+
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -95,8 +109,38 @@ def _runs(values: np.ndarray, run: int) -> np.ndarray:
         return mix(sum((values[i : i + m] * _SEEDS[i] for i in range(run)), np.zeros(m, np.uint64))) if m > 0 else values[:0]
 
 
-def keys_of(sketch: np.ndarray, stock: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """The keys of the inverted lists of a text of ``n`` shingles; ``stock`` tells which values of its sketch are stock."""
+def minhash_bands(sets: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The keys of the MinHash bands of non-empty sets, one row a set.
+
+    Fast similarity sketches: in each round every value falls into one bin by a hash of its own, and a bin that is
+    still empty keeps the smallest. Two sets agree in a bin with probability J, as in MinHash with one
+    hash function a bin, but a set of many values fills all bins within a few rounds.
+    """
+    count, rows = shape
+    bins = count * rows
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    least, empty = np.full(len(sets) * bins, np.iinfo(np.uint64).max, np.uint64), np.ones(len(sets) * bins, bool)
+    with np.errstate(over="ignore"):
+        for i in range(1, 1 << 20):
+            h = mix(flat ^ mix(np.uint64(i) * _SEEDS[11]))
+            at = own * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+            free = empty[at]
+            np.minimum.at(least, at[free], h[free])
+            empty[at[free]] = False
+            short = empty.reshape(len(sets), bins).any(axis=1)
+            if not short.any():
+                break
+            flat, own = flat[short[own]], own[short[own]]
+        values = least.reshape(len(sets), count, rows)
+        return mix(np.sum(mix(values) * _SEEDS[:rows], axis=2, dtype=np.uint64) + np.arange(count, dtype=np.uint64) * _SEEDS[12])
+
+
+def keys_of(sketch: np.ndarray, stock: np.ndarray, n: int, threshold: float, minhash: np.ndarray) -> np.ndarray:
+    """The keys of the inverted lists of a text of ``n`` shingles.
+
+    ``stock`` tells which values of its sketch are stock; ``minhash`` are the bands of a long text.
+    """
     out = []
     for band, low, high, kind, weight in bands(threshold):
         if not low <= n < high:
@@ -106,8 +150,7 @@ def keys_of(sketch: np.ndarray, stock: np.ndarray, n: int, threshold: float) ->
         elif kind == "single":
             found = [(sketch[~stock], weight), (_runs(sketch[stock], STOCK_RUN), ENOUGH)]
         else:
-            often = _runs(sketch[stock], STOCK_RUN)
-            found = [(_runs(sketch[~stock], RARE_RUN), weight), (often[often % np.uint64(STOCK_EVERY) == 0], ENOUGH)]
+            found = [(minhash, weight)]
         # the two lowest bits of a key are its weight
         out += [mix(keys + np.uint64(2 * band + i)) & ~np.uint64(3) | np.uint64(w) for i, (keys, w) in enumerate(found)]
     return np.concatenate(out) if out else sketch[:0]
@@ -122,15 +165,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def sketches(df: DataFrame, key: str, text: str, size: int, k: int = SKETCH) -> DataFrame:
-    """``(id, n, same, sketch)`` of every text with at least one shingle.
+def sketches(df: DataFrame, key: str, text: str, size: int, threshold: float, k: int = SKETCH) -> DataFrame:
+    """``(id, n, same, sketch, minhash)`` of every text with at least one shingle.
 
     ``same`` identifies the set of shingles: texts with one value of it are copies for this purpose. Of the
-    copies that a task reads only the first has its ``sketch``.
+    copies that a task reads only the first has its ``sketch``, and its ``minhash`` bands if it is long.
     """
+    shape = minhash_shape(threshold)
+    # sketches of shorter texts are read by their values, of the others only the estimate is
+    listed_by_value = max(high for _, _, high, kind, _ in bands(threshold) if kind != "minhash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, listed = Shingler(size), set()
+        shingler, listed, none = Shingler(size), set(), np.zeros(0, np.uint64)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
@@ -144,11 +190,14 @@ def sketches(df: DataFrame, key: str, text: str, size: int, k: int = SKETCH) ->
                     new.append(c not in listed)
                     if len(listed) < 5_000_000:  # a bound on memory only
                         listed.add(c)
-                first = _lists([s[: k * n] ^ _TOP for s, n in zip(sets, new)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), pa.array([len(s) for s in sets], pa.int32()), pa.array(same.view(np.int64)), first], ["id", "n", "same", "sketch"])
+                first = _lists([s[: (k if len(s) < listed_by_value else ESTIMATE) * n] ^ _TOP for s, n in zip(sets, new)])
+                long = [n and len(s) >= LONG for s, n in zip(sets, new)]
+                found = iter(minhash_bands([s for s, n in zip(sets, long) if n], shape))
+                minhash = _lists([next(found) if n else none for n in long])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int32())), pa.array([len(s) for s in sets], pa.int32()), pa.array(same.view(np.int64)), first, minhash], ["id", "n", "same", "sketch", "minhash"])
 
     rows = df.select(df[key].cast("long").alias("id"), df[text].alias("t")).where("id is not null and t is not null")
-    return rows.mapInArrow(run, "id long, n int, same long, sketch array<long>")
+    return rows.mapInArrow(run, "id long, n int, same long, sketch array<long>, minhash array<long>")
 
 
 def stock_values(made: DataFrame) -> np.ndarray:
@@ -180,11 +229,13 @@ def inverted_lists(made: DataFrame, threshold: float) -> DataFrame:
             often = np.isin(flat, stock.value)
             flat = flat.view(np.uint64) ^ _TOP
             ends = np.concatenate([[0], np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))])
-            keys = [keys_of(flat[x:y], often[x:y], n, threshold) for x, y, n in zip(ends, ends[1:], sizes.tolist())]
+            most = b.column(3).flatten().to_numpy().view(np.uint64)
+            long = np.concatenate([[0], np.cumsum(b.column(3).value_lengths().to_numpy(zero_copy_only=False))])
+            keys = [keys_of(flat[x:y], often[x:y], n, threshold, most[u:v]) for x, y, n, u, v in zip(ends, ends[1:], sizes.tolist(), long, long[1:])]
             out = np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(same, [len(x) for x in keys])), pa.array(out)], ["same", "key"])
 
-    return made.where(F.size("sketch") > 0).select("same", "n", "sketch").mapInArrow(run, "same long, key long")
+    return made.where(F.size("sketch") > 0).select("same", "n", "sketch", "minhash").mapInArrow(run, "same long, key long")
 
 
 def _union_estimate(threshold: float) -> float:
@@ -202,13 +253,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
 
     ``class`` is the smallest id with the same set of shingles; every text with a shingle is in ``members``. A
     pair is there if the exact Jaccard similarity of the two sets of ``size`` consecutive words (runs of letters
-    and digits, lower-cased) is at least ``threshold``. Candidates come from the sketches, so a pair exactly at
-    the threshold is missed with a probability below one in a hundred, and one well above it practically never.
+    and digits, lower-cased) is at least ``threshold``. Candidates of under 100 shingles come from the sketches; longer ones
+    from MinHash bands and the estimate, so that a pair exactly at the threshold is missed with a probability of about
+    one in ten thousand, whatever else the table holds, and one well above it practically never.
     Null and empty texts, texts of fewer than ``size`` words and null keys have no row; rows of one key count
     once, and if their texts differ the key is in the class of the smallest; an empty table gives empty ones;
     other columns are ignored.
     """
-    made = written(sketches(df, key, text, size, k))
+    made = written(sketches(df, key, text, size, threshold, k))
     ids = made.select("id", "same")
     firsts = ids.groupBy("same").agg(F.min("id").alias("class"))
     members = ids.join(firsts, "same").groupBy("id").agg(F.min("class").alias("class"))

@@ -76,3 +76,27 @@ def test_empty_and_bands(spark):
     for n in (1, 29, 30, 99, 100, 224, 225, 5000):
         for m in range(n, int(n / 0.6) + 1):
             assert any(low <= n and m < high for _, low, high, *_ in bands(0.6))
+
+
+def family(rng, words, copies, dropped):
+    """Copies of one text, of which each lacks its own passages; pairs fall on both sides of 0.6."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        while len(w) > words * (1 - dropped):
+            at = rng.randrange(len(w))
+            del w[at : at + rng.randint(1, max(2, words // 20))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def recall(spark, rows):
+    pairs, members = near_duplicates(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", 0.6, 3)
+    found, want = {tuple(r) for r in all_pairs(pairs, members).collect()}, brute(rows, 0.6, 3)
+    assert found <= want and len(want) > 1000
+    return len(found) / len(want)
+
+
+def test_large_family_near_the_threshold(spark):
+    assert recall(spark, family(random.Random(5), 400, 200, 0.2)) >= 0.999
