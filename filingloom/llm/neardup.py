@@ -3,18 +3,20 @@
 Method: bottom-k sketches from one hash function, inverted lists of MinHash bands, an estimate from the
 union sketch, exact Jaccard on what remains.
 
-A text's shingles (runs of consecutive words) are hashed once; the ``SKETCH`` smallest values, in order, are
-its sketch. Filings are written from stock phrases, so a single retained value may stand in most texts and its
-list would pair everything with everything. Texts of 100 shingles or more are therefore listed by bands of MinHash
-values, each band a key: two texts share one with a probability that depends on their Jaccard similarity alone, not on
-what else the table holds, and rows and bands are set so that a pair at the threshold is missed with a probability
-of at most ``MISSED``. Texts of under 100 shingles list single rare values, of which a pair needs three, and runs of
-eight stock values (those in at least one in two hundred texts); those of under 30 list the
-first ``n - ceil(J n) + 1`` of all their values, a prefix filter in hash order that misses nothing. Bands of
+A text's shingles (runs of consecutive words) are hashed once; the smallest values, in order, are
+its sketch, of short texts all values. Filings are written from stock phrases, so a single retained value may stand in
+most texts and its list would pair everything with everything. Texts of 100 shingles or more are therefore listed by bands
+of MinHash values, each band a key: two texts share one with a probability that depends on their Jaccard similarity
+alone, not on what else the table holds, and rows and bands are set so that a pair at the threshold is missed with a
+probability of at most ``MISSED``. Texts of under 100 shingles list the first ``n - ceil(J n) + 1`` of all their values, a
+prefix filter that misses nothing whatever the order, as long as it is one for all texts: here rare values first, in the
+order of their hashes, and then the stock values, the most frequent last, so that lists stay short. Of what meets in
+those lists, pairs are left out that can't reach the threshold by their lengths, by the place of the value in both, or by
+the least number of values that only one of them has, which bit maps of the sets tell. Bands of
 length overlap by the factor J, so the two texts of a pair always meet in one band.
 
-Stock values are counted over all texts; there can't be more than ``SKETCH`` times two hundred, whatever the size of
-the collection, so they can be broadcast.
+Stock values are those in at least one in two hundred of the texts listed by value, which have a bounded number of
+values each; so there is a bounded number of stock values, whatever the size of the collection, and they can be broadcast.
 
 Texts with equal shingle sets are one class. A task lists a class once, whatever copies of it the task reads,
 so a group of copies is reduced before the shuffle and never fills a list. Lists are joined, never collected;
@@ -30,35 +32,38 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.functions.words import mix, words
 from filingloom.sources.tables import cut, small, written
 
-SKETCH = 192
-#: Values of the sketch that estimate a candidate pair's Jaccard.
+#: Values of a long text's sketch; they estimate a candidate pair's Jaccard.
 ESTIMATE = 64
 
 
-#: Share of the texts from which on a value is stock, and texts that it must at least be in.
+#: Share of the texts listed by value from which on a value is stock, and texts that it must at least be in.
 STOCK_SHARE, STOCK_LEAST = 0.005, 50
-STOCK_RUN = 8
-#: Weight of common keys that makes a pair a candidate: three rare values, or one key of another kind.
-ENOUGH = 3
+#: Words of 64 bits of the bit map of a text listed by value; a power of two.
+MAP_WORDS = 4
 #: Shingles from which on a text is listed by MinHash bands.
 LONG = 100
 #: Probability that two texts right at the threshold have no band in common, and bands that may be used to keep to it.
 MISSED, MOST_BANDS = 5e-5, 128
 
 
-def bands(threshold: float) -> list[tuple[int, int, int, str, int]]:
-    """``(band, least shingles, most shingles, keys, weight)``: what texts of a length list, and what one common key weighs.
+def bands(threshold: float) -> list[tuple[int, int, int, str]]:
+    """``(band, least shingles, most shingles, keys)``: what texts of a length list.
 
     The shorter text of a pair is in one band's core, and the longer has at most 1 / threshold of its shingles.
     """
-    cores = [(1, 30, "prefix", ENOUGH), (30, LONG, "single", 1), (LONG, None, "minhash", ENOUGH)]
-    return [(i, low, 1 << 60 if high is None else math.ceil(high / threshold) + 1, *rest) for i, (low, high, *rest) in enumerate(cores)]
+    cores = [(1, 30, "prefix"), (30, LONG, "prefix"), (LONG, None, "minhash")]
+    return [(i, low, 1 << 60 if high is None else math.ceil(high / threshold) + 1, kind) for i, (low, high, kind) in enumerate(cores)]
+
+
+def _listed_by_value(threshold: float) -> int:
+    """Shingles below which a text is in a band with a prefix filter."""
+    return max(high for _, _, high, kind in bands(threshold) if kind == "prefix")
 
 
 def minhash_shape(threshold: float) -> tuple[int, int]:
@@ -103,12 +108,6 @@ class Shingler:
         return out
 
 
-def _runs(values: np.ndarray, run: int) -> np.ndarray:
-    m = len(values) - run + 1
-    with np.errstate(over="ignore"):
-        return mix(sum((values[i : i + m] * _SEEDS[i] for i in range(run)), np.zeros(m, np.uint64))) if m > 0 else values[:0]
-
-
 def minhash_bands(sets: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
     """The keys of the MinHash bands of non-empty sets, one row a set.
 
@@ -136,24 +135,31 @@ def minhash_bands(sets: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
         return mix(np.sum(mix(values) * _SEEDS[:rows], axis=2, dtype=np.uint64) + np.arange(count, dtype=np.uint64) * _SEEDS[12])
 
 
-def keys_of(sketch: np.ndarray, stock: np.ndarray, n: int, threshold: float, minhash: np.ndarray) -> np.ndarray:
-    """The keys of the inverted lists of a text of ``n`` shingles.
+def keys_of(sketch: np.ndarray, rank: np.ndarray, n: int, threshold: float, minhash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the inverted lists of a text of ``n`` shingles, and how many shingles the text can have in common with one that it meets there first.
 
-    ``stock`` tells which values of its sketch are stock; ``minhash`` are the bands of a long text.
+    ``rank`` is 0 for the rare values of its sketch and orders the stock ones; ``minhash`` are the bands of a long text.
     """
-    out = []
-    for band, low, high, kind, weight in bands(threshold):
+    out, rest = [sketch[:0]], [np.zeros(0, np.int32)]
+    for band, low, high, kind in bands(threshold):
         if not low <= n < high:
             continue
         if kind == "prefix":
-            found = [(sketch[: n - math.ceil(threshold * n - 1e-9) + 1], weight)]
-        elif kind == "single":
-            found = [(sketch[~stock], weight), (_runs(sketch[stock], STOCK_RUN), ENOUGH)]
+            keys = sketch[np.argsort(rank, kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]]
+            rest.append(np.arange(n, n - len(keys), -1, dtype=np.int32))
         else:
-            found = [(minhash, weight)]
-        # the two lowest bits of a key are its weight
-        out += [mix(keys + np.uint64(2 * band + i)) & ~np.uint64(3) | np.uint64(w) for i, (keys, w) in enumerate(found)]
-    return np.concatenate(out) if out else sketch[:0]
+            keys = minhash
+            rest.append(np.full(len(keys), n, np.int32))
+        out.append(mix(keys + np.uint64(band)))
+    return np.concatenate(out), np.concatenate(rest)
+
+
+def bit_maps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row of ``MAP_WORDS`` words for each set: a bit for each of its values, by their lowest bits."""
+    out = np.zeros((len(counts), MAP_WORDS), np.uint64)
+    word = (values >> np.uint64(6) & np.uint64(MAP_WORDS - 1)).astype(np.int64)
+    np.bitwise_or.at(out, (np.repeat(np.arange(len(counts)), counts), word), np.uint64(1) << (values & np.uint64(63)))
+    return out
 
 
 _TOP = np.uint64(1 << 63)  # turned by the top bit, signed longs are in the order of the hashes
@@ -165,15 +171,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def sketches(df: DataFrame, key: str, text: str, size: int, threshold: float, k: int = SKETCH) -> DataFrame:
+def sketches(df: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """``(id, n, same, sketch, minhash)`` of every text with at least one shingle.
 
     ``same`` identifies the set of shingles: texts with one value of it are copies for this purpose. Of the
     copies that a task reads only the first has its ``sketch``, and its ``minhash`` bands if it is long.
     """
     shape = minhash_shape(threshold)
-    # sketches of shorter texts are read by their values, of the others only the estimate is
-    listed_by_value = max(high for _, _, high, kind, _ in bands(threshold) if kind != "minhash")
+    # shorter texts are listed by their values and keep all of them
+    whole = _listed_by_value(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, listed, none = Shingler(size), set(), np.zeros(0, np.uint64)
@@ -190,7 +196,7 @@ def sketches(df: DataFrame, key: str, text: str, size: int, threshold: float, k:
                     new.append(c not in listed)
                     if len(listed) < 5_000_000:  # a bound on memory only
                         listed.add(c)
-                first = _lists([s[: (k if len(s) < listed_by_value else ESTIMATE) * n] ^ _TOP for s, n in zip(sets, new)])
+                first = _lists([s[: (len(s) if len(s) < whole else ESTIMATE) * n] ^ _TOP for s, n in zip(sets, new)])
                 long = [n and len(s) >= LONG for s, n in zip(sets, new)]
                 found = iter(minhash_bands([s for s, n in zip(sets, long) if n], shape))
                 minhash = _lists([next(found) if n else none for n in long])
@@ -200,8 +206,8 @@ def sketches(df: DataFrame, key: str, text: str, size: int, threshold: float, k:
     return rows.mapInArrow(run, "id long, n int, same long, sketch array<long>, minhash array<long>")
 
 
-def stock_values(made: DataFrame) -> np.ndarray:
-    """Values in at least ``STOCK_SHARE`` of the sketches, sorted; at most ``SKETCH / STOCK_SHARE`` of them.
+def stock_values(made: DataFrame, threshold: float) -> np.ndarray:
+    """Values in at least ``STOCK_SHARE`` of the sketches of texts listed by value, the least frequent first.
 
     Each batch passes on the values that are frequent in it, so what is shuffled is bounded too.
     """
@@ -212,30 +218,60 @@ def stock_values(made: DataFrame) -> np.ndarray:
             often = counts >= max(2, b.num_rows * STOCK_SHARE / 2)
             yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["v", "c"])
 
-    listed = made.where(F.size("sketch") > 0)
+    listed = made.where((F.size("sketch") > 0) & (F.col("n") < _listed_by_value(threshold)))
     least = max(STOCK_LEAST, STOCK_SHARE * listed.count())
     found = listed.select("sketch").mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return np.sort(np.array([r.v for r in found.select("v").collect()], np.int64))
+    return np.array([v for _, v in sorted((r.c, r.v) for r in found.collect())], np.int64)
 
 
 def inverted_lists(made: DataFrame, threshold: float) -> DataFrame:
-    """``(same, key)`` of every class with each list it is in."""
-    stock = made.sparkSession.sparkContext.broadcast(stock_values(made))
+    """``(same, key, n, rest, w0, w1, ...)`` of every class with each list it is in.
+
+    ``rest`` is the number of shingles it can share with a text that it meets there first; the words of the bit map
+    are 0 for texts that are listed by MinHash bands only.
+    """
+    whole = _listed_by_value(threshold)
+    words_of_map = [f"w{i}" for i in range(MAP_WORDS)]
+    by_count = stock_values(made, threshold)
+    by_value = np.argsort(by_count)
+    stock = made.sparkSession.sparkContext.broadcast((by_count[by_value], by_value + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ranks = stock.value
         for b in batches:
             same, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
             flat = b.column(2).flatten().to_numpy()
-            often = np.isin(flat, stock.value)
+            rank = np.zeros(len(flat), np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+                rank = np.where(values[at] == flat, ranks[at], 0)
             flat = flat.view(np.uint64) ^ _TOP
             ends = np.concatenate([[0], np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))])
             most = b.column(3).flatten().to_numpy().view(np.uint64)
             long = np.concatenate([[0], np.cumsum(b.column(3).value_lengths().to_numpy(zero_copy_only=False))])
-            keys = [keys_of(flat[x:y], often[x:y], n, threshold, most[u:v]) for x, y, n, u, v in zip(ends, ends[1:], sizes.tolist(), long, long[1:])]
-            out = np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(same, [len(x) for x in keys])), pa.array(out)], ["same", "key"])
+            found = [keys_of(flat[x:y], rank[x:y], n, threshold, most[u:v]) for x, y, n, u, v in zip(ends, ends[1:], sizes.tolist(), long, long[1:])]
+            out = np.concatenate([*(k for k, _ in found), np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+            rest = np.concatenate([*(r for _, r in found), np.zeros(0, np.int32)]).astype(np.int32)
+            row = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+            maps = bit_maps(flat, np.diff(ends))
+            maps[sizes >= whole] = 0
+            columns = [same[row], out, sizes[row], rest, *maps[row].T.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["same", "key", "n", "rest", *words_of_map])
+
+    kinds = ", ".join(["same long, key long, n int, rest int", *(f"{w} long" for w in words_of_map)])
+    return made.where(F.size("sketch") > 0).select("same", "n", "sketch", "minhash").mapInArrow(run, kinds)
 
-    return made.where(F.size("sketch") > 0).select("same", "n", "sketch", "minhash").mapInArrow(run, "same long, key long")
+
+def _may_reach(threshold: float) -> Column:
+    """Whether the texts ``a`` and ``b`` that meet in a list may be a pair; of a pair, the rows of the list that it meets in first hold.
+
+    A pair shares at least t / (1 + t) of its added lengths, and at most the rest of them is in one text only.
+    """
+    shared = F.least("a.rest", "b.rest") >= F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-6)
+    apart = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(MAP_WORDS)), F.lit(0))
+    # a map of only one of the two tells nothing: the other is listed by MinHash bands only
+    mapped = F.greatest("a.n", "b.n") < _listed_by_value(threshold)
+    return shared & (~mapped | (apart <= (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6))
 
 
 def _union_estimate(threshold: float) -> float:
@@ -248,33 +284,35 @@ def exact_jaccard(a: str, b: str, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 0.0
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, size: int = 5, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """``pairs (key_a, key_b, jaccard)`` between representatives of different shingle sets, and ``members (id, class)``.
 
     ``class`` is the smallest id with the same set of shingles; every text with a shingle is in ``members``. A
     pair is there if the exact Jaccard similarity of the two sets of ``size`` consecutive words (runs of letters
-    and digits, lower-cased) is at least ``threshold``. Candidates of under 100 shingles come from the sketches; longer ones
-    from MinHash bands and the estimate, so that a pair exactly at the threshold is missed with a probability of about
+    and digits, lower-cased) is at least ``threshold``. Pairs of texts of under 100 shingles are all found; longer ones come
+    from MinHash bands and an estimate, so that a pair exactly at the threshold is missed with a probability of about
     one in ten thousand, whatever else the table holds, and one well above it practically never.
     Null and empty texts, texts of fewer than ``size`` words and null keys have no row; rows of one key count
     once, and if their texts differ the key is in the class of the smallest; an empty table gives empty ones;
     other columns are ignored.
     """
-    made = written(sketches(df, key, text, size, threshold, k))
+    made = written(sketches(df, key, text, size, threshold))
     ids = made.select("id", "same")
     firsts = ids.groupBy("same").agg(F.min("id").alias("class"))
     members = ids.join(firsts, "same").groupBy("id").agg(F.min("class").alias("class"))
     # one shuffle by key serves both sides of the join and the removal of classes that several tasks have listed
     lists = inverted_lists(made, threshold).repartition("key").dropDuplicates(["key", "same"])
-    met = lists.toDF("a", "key").join(lists.toDF("b", "key"), "key").where("a < b").groupBy("a", "b").agg(F.sum(F.col("key").bitwiseAND(3)).alias("weight"))
-    met = met.where(F.col("weight") >= ENOUGH).select("a", "b")
-    values = made.where(F.size("sketch") > 0).select("same", "n", F.slice("sketch", 1, ESTIMATE).alias("sketch")).dropDuplicates(["same"])
+    met = lists.alias("a").join(lists.alias("b"), F.col("a.key") == F.col("b.key")).where(F.expr("a.same < b.same") & _may_reach(threshold))
+    met = met.select(F.col("a.same").alias("a"), F.col("b.same").alias("b")).distinct()
+    whole = _listed_by_value(threshold)
+    values = made.where(F.size("sketch") > 0).select("same", "n", "sketch").dropDuplicates(["same"])
     pairs = met.join(values.toDF("a", "na", "sa"), "a").join(values.toDF("b", "nb", "sb"), "b")
-    fits = F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - 1e-6)
-    # the smallest values of the union are the sketch of the union; the share of it in both sketches estimates Jaccard
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.greatest(F.size("sa"), F.size("sb")))
+    # the smallest values of the union are the sketch of the union; the share of it in both sketches estimates Jaccard;
+    # of two texts that keep all their values it is exact
+    sample = F.when(F.greatest("na", "nb") < whole, 2 * whole).otherwise(ESTIMATE)
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), F.lit(1), sample)
     estimate = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    likely = pairs.where(fits & (estimate >= _union_estimate(threshold))).select("a", "b")
+    likely = pairs.where(estimate >= _union_estimate(threshold)).select("a", "b")
     a, b = firsts.toDF("a", "ca"), firsts.toDF("b", "cb")
     likely = written(likely.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a < b"))
     texts = df.select(df[key].cast("long").alias("id"), df[text].alias("t")).where("id is not null and t is not null")

@@ -100,3 +100,8 @@ def recall(spark, rows):
 
 def test_large_family_near_the_threshold(spark):
     assert recall(spark, family(random.Random(5), 400, 200, 0.2)) >= 0.999
+
+
+@pytest.mark.parametrize("words, dropped", [(80, 0.12), (110, 0.12), (60, 0.08)])
+def test_large_family_of_short_texts(spark, words, dropped):
+    assert recall(spark, family(random.Random(6), words, 200, dropped)) == 1
