@@ -207,20 +207,14 @@ def sketches(df: DataFrame, key: str, text: str, size: int, threshold: float) ->
 
 
 def stock_values(made: DataFrame, threshold: float) -> np.ndarray:
-    """Values in at least ``STOCK_SHARE`` of the sketches of texts listed by value, the least frequent first.
+    """Values in at least ``STOCK_SHARE`` of the distinct sets of texts listed by value, the least frequent first.
 
-    Each batch passes on the values that are frequent in it, so what is shuffled is bounded too.
+    Copies that several tasks have listed count once. Which values are stock decides how long lists are, never which
+    pairs are found.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, counts = np.unique(b.column(0).flatten().to_numpy(), return_counts=True)
-            often = counts >= max(2, b.num_rows * STOCK_SHARE / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["v", "c"])
-
-    listed = made.where((F.size("sketch") > 0) & (F.col("n") < _listed_by_value(threshold)))
+    listed = made.where((F.size("sketch") > 0) & (F.col("n") < _listed_by_value(threshold))).select("same", "sketch").dropDuplicates(["same"])
     least = max(STOCK_LEAST, STOCK_SHARE * listed.count())
-    found = listed.select("sketch").mapInArrow(run, "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    found = listed.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") >= least)
     return np.array([v for _, v in sorted((r.c, r.v) for r in found.collect())], np.int64)
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from filingloom.functions.words import words
-from filingloom.llm.neardup import all_pairs, bands, groups, near_duplicates
+from filingloom.llm.neardup import all_pairs, bands, groups, near_duplicates, sketches, stock_values
 
 
 def brute(rows, threshold, size):
@@ -105,3 +105,17 @@ def test_large_family_near_the_threshold(spark):
 @pytest.mark.parametrize("words, dropped", [(80, 0.12), (110, 0.12), (60, 0.08)])
 def test_large_family_of_short_texts(spark, words, dropped):
     assert recall(spark, family(random.Random(6), words, 200, dropped)) == 1
+
+
+def test_stock_values_count_distinct_sets(spark):
+    family_of = lambda n: [(i, f"one two three four five six seven own{i} text{i} here") for i in range(n)]
+    copies = [(1000 + i, t) for i, (_, t) in enumerate(family_of(40) * 3)]
+    stock = lambda rows, parts: stock_values(sketches(spark.createDataFrame(rows, "id long, t string").repartition(parts), "id", "t", 3, 0.6), 0.6).tolist()
+    assert stock(copies, 1) == stock(copies, 4) == [] and len(stock(family_of(60), 4)) == 5
+
+
+@pytest.mark.parametrize("copies", [49, 51])
+def test_recall_is_the_same_on_both_sides_of_stock(spark, copies):
+    rows = family(random.Random(7), 60, copies, 0.05) + [(1000 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(500)]
+    pairs, members = near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.6, 3)
+    assert {tuple(r) for r in all_pairs(pairs, members).collect()} == brute(rows, 0.6, 3)
