@@ -38,8 +38,8 @@ REMEMBERED = 300_000
 #: Share of a garbled record's words that went through the chain, at the least.
 SHARE = 0.5
 PRIOR = 1e-3
-#: Pairs of characters that are kept; alphabets have far fewer.
-MOST_PAIRS = 200_000
+#: Pairs of characters that the driver and the workers can hold; all are kept, and a collection of more is refused.
+MOST_PAIRS = 1_000_000
 
 # Encodings in which UTF-8 has been read, and (read in, written in) pairs of older encodings.
 UTF8_READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_2")
@@ -198,7 +198,7 @@ def _foreign(text: str) -> list[str]:
 
 
 def count_pairs(texts: DataFrame) -> dict[str, int]:
-    """Counts of neighbouring characters over the words that no reading of UTF-8 can explain; at most ``MOST_PAIRS``."""
+    """Counts of neighbouring characters over the words that no reading of UTF-8 can explain; a ValueError beyond ``MOST_PAIRS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -212,7 +212,10 @@ def count_pairs(texts: DataFrame) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.string()), pa.array(list(pairs.values()), pa.int64())], ["p", "n"])
 
     found = texts.select("t").mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    return {r.p: r.n for r in found.orderBy(F.desc("n"), "p").limit(MOST_PAIRS).collect()}
+    rows = found.limit(MOST_PAIRS + 1).collect()
+    if len(rows) > MOST_PAIRS:
+        raise ValueError(f"over {MOST_PAIRS} distinct pairs of characters: the character model would not be whole")
+    return {r.p: r.n for r in sorted(rows, key=lambda r: (-r.n, r.p))}
 
 
 def _add(words: Counter, pairs: Counter) -> None:

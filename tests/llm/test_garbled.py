@@ -91,3 +91,13 @@ def test_undo():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert g.repaired(df, "doc_id", "text", "source").collect() == []
+
+
+def test_pairs_are_whole_or_refused(spark, monkeypatch):
+    texts = spark.createDataFrame([("façade naïve Ørsund",), ("façade сектор",)], "t string")
+    whole = g.count_pairs(texts)
+    monkeypatch.setattr(g, "MOST_PAIRS", len(whole))
+    assert whole["fa"] == 2 and g.count_pairs(texts) == whole
+    monkeypatch.setattr(g, "MOST_PAIRS", len(whole) - 1)
+    with pytest.raises(ValueError):
+        g.count_pairs(texts)
