@@ -69,6 +69,15 @@ def delta_score(df: DataFrame, keys: list[str], scale: float = 0.6) -> DataFrame
     return out.withColumn("score", F.coalesce(F.try_divide(scale * (F.col("bull") - F.col("bear")), F.col("bull") + F.col("bear")), F.lit(0.0)))
 
 
+def dispatched_score(df: DataFrame, keys: list[str], dictionary: Dictionary, least_history: int = 2) -> DataFrame:
+    """``history, mode, score`` of each key: by group deltas from ``least_history`` other dates on, else absolute. Rows as ``deltas`` gives them."""
+    mentions = lambda p: F.coalesce(F.sum(F.when(F.col("polarity") == p, F.col("n"))), F.lit(0))
+    plain = df.groupBy(*keys).agg(absolute_score(mentions("bear"), mentions("bull"), dictionary).alias("absolute"))
+    known = F.col("history") >= least_history
+    both = delta_score(df, keys).join(plain, keys)
+    return both.select(*keys, "history", F.when(known, "delta").otherwise("absolute").alias("mode"), F.when(known, F.col("score")).otherwise(F.col("absolute")).alias("score"))
+
+
 def anomalies(counts: DataFrame, entity: str, order: str, spike: float = 3.0, most: int = 5, least_history: int = 3) -> DataFrame:
     """Emergence, spike and decline of a group against the mean of all earlier dates, if there are at least ``least_history``.
 

@@ -105,6 +105,18 @@ def weight_grid(df: DataFrame, components: list[str], low: float = -0.2, high: f
     return best_cell(weight_cells(df.sparkSession), rows, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), F.lit(low), F.lit(high))
 
 
+def section_weight_grid(df: DataFrame, sections: list[str], low: float = -0.2, high: float = 0.2) -> DataFrame:
+    """Cells of weights over the scores of three sections, one column a section; the weights of the sections a row has are shared out anew.
+
+    A row without any of them scores 0. Rows should be those of the model whose sections are weighted.
+    """
+    rows = df.withColumn("m", move(F.col("direction"))).select(*sections, "m")
+    weights = list(zip(sections, ("w1", "w2", "w3")))
+    value = sum((F.coalesce(F.col(c) * F.col(w), F.lit(0.0)) for c, w in weights), F.lit(0.0))
+    weight = sum((F.when(F.col(c).isNotNull(), F.col(w)).otherwise(0.0) for c, w in weights), F.lit(0.0))
+    return best_cell(weight_cells(df.sparkSession), rows, F.coalesce(F.try_divide(value, weight), F.lit(0.0)), F.lit(low), F.lit(high))
+
+
 def first_best(grid: DataFrame) -> DataFrame:
     """The first cell with the highest accuracy above 0; none if no cell is above 0."""
     return grid.where("accuracy > 0").orderBy(F.desc("accuracy"), "cell").limit(1)

@@ -195,3 +195,20 @@ def test_status(spark):
     listed = status.add_to_list(a.where("v = 1").select("k"), spark.createDataFrame([("T",), ("U",), ("U",)], "k string"), "k")
     assert sorted(r.k for r in listed.collect()) == ["T", "U"]
     assert status.remove_from_list(listed, listed.where("k = 'T'"), "k").count() == 1
+
+
+def test_section_weight_grid_shares_weights_among_sections_present(spark):
+    rows = [(0.3, None, None, "up"), (None, -0.3, None, "up"), (None, None, None, "up"), (0.3, 0.3, -0.3, "down"), (0.9, 0.9, 0.9, "flat")]
+    df = spark.createDataFrame(rows, "a double, b double, c double, direction string")
+    cells = {(r.w1, r.w2): (r.hits, r.total) for r in metrics.section_weight_grid(df, ["a", "b", "c"]).collect()}
+    # one section alone has all the weight, whatever the cell; of three the last has .9, then .05
+    assert len(cells) == 171 and cells[0.05, 0.05] == (2, 3) and cells[0.05, 0.9] == (1, 3)
+
+
+def test_keyword_dispatch_by_history(spark):
+    words = [("fall", "fall", "bear"), ("rise", "rise", "bull")]
+    rows = [(t, dt.date(2020 + y, 1, 1), g, p, n) for t, years in (("A", 2), ("B", 3)) for y in range(years) for g, p, n in (("fall", "bear", 1), ("rise", "bull", 3 if y else 1))]
+    df = keywords.deltas(spark.createDataFrame(rows, "ticker string, filing_date date, grp string, polarity string, n int"), "ticker", "filing_date")
+    got = {(r.ticker, r.filing_date.year): (r.mode, r.score) for r in keywords.dispatched_score(df, ["ticker", "filing_date"], words).collect()}
+    assert got["A", 2020] == ("absolute", 0.0) and got["A", 2021] == ("absolute", 0.25)
+    assert got["B", 2020] == ("delta", -0.6) and len(got) == 5
