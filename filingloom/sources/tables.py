@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,29 +15,36 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: A table of at most so many bytes may be dealt out to all cores: the shuffle that costs is as small.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan in fewer partitions than there are cores, dealt out to all of them; larger tables are left as they are.
+    """A small scan in fewer partitions than there are cores, dealt out to all of them; every other table is left as it is.
 
-    For work on whole texts over a table of one small file; it never shuffles a table that has partitions enough.
+    For work on whole texts over a table of one small file, which is one task otherwise. Tables of over
+    ``SPREAD_BYTES`` are never shuffled by it, however many cores there are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if int(plan.optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for checkpoints and written tables, as named in ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) does
-    the engine fall back to a folder of its own below the warehouse.
+    Only on a local master, where every task sees the same disk, may it be unset; a folder of the machine is made then.
+    On a cluster that would be another folder on each executor, so it is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        import tempfile
-
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="filingloom-checkpoint-")
     sc.setCheckpointDir(named)
     return named
@@ -61,13 +69,26 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of ids that may be broadcast: a few MB.
-BROADCAST_ROWS = 200_000
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row, from 0, by ``order``: rows are sorted by ranges, and only the sizes of the ranges are added up."""
+    rows = written(df.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    # one row a range
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_0"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_p", (before - F.col("_0")).alias("_0"))
+    return rows.join(F.broadcast(starts), "_p").withColumn(name, F.col("_i") + F.col("_0")).drop("_p", "_i", "_0")
+
+
+#: Rows, and bytes, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, with a broadcast hint if a count finds at most ``rows`` rows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df``, with a broadcast hint if it has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes; else as it is, to be shuffled."""
+    fixed = all(t in ("boolean", "int", "bigint", "double", "float", "date", "timestamp", "timestamp_ntz") for _, t in df.dtypes)
+    size = F.lit(0) if fixed else F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), size.alias("b")).first()
+    return F.broadcast(df) if found.n <= rows and found.b <= BROADCAST_BYTES else df
 
 
 def section_key(column: Column | str) -> Column:
