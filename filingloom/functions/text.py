@@ -49,6 +49,7 @@ def term_count(c: Column, term: str, lowered: bool = False) -> Column:
 
 def clean_section(c: Column) -> Column:
     """A section without long gaps, page footers and the rules of tables, in this order."""
+    # The three patterns.
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     c = F.regexp_replace(c, r"\n[A-Za-z\s]+\|\s*\d{4}\s*Form\s*10-K\s*\|\s*\d+\n", "\n")
     return trimmed(F.regexp_replace(c, r"\|[\s\-|]+\|", ""))

@@ -158,7 +158,8 @@ def section_extract(s: SparkSession, d: str) -> DataFrame:
     return sections.extract(spread(table(s, d, "filings", "filing_id", "full_document")), ["filing_id"], "full_document").distinct()
 
 
-_CLEAN = f"{_TRIM(chr(114) + 'egexp_replace(regexp_replace(regexp_replace(full_document, ' + chr(39) + '\\n{3,}' + chr(39) + ', E' + chr(39) + '\\n\\n' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '\\n[A-Za-z\\s]+\\|\\s*\\d{4}\\s*Form\\s*10-K\\s*\\|\\s*\\d+\\n' + chr(39) + ', E' + chr(39) + '\\n' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '\\|[\\s\\-|]+\\|' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}"
+# the patterns of clean_section, as the SQL has them
+_CLEAN = _TRIM(r"""regexp_replace(regexp_replace(regexp_replace(full_document, '\n{3,}', E'\n\n', 'g'), '\n[A-Za-z\s]+\|\s*\d{4}\s*Form\s*10-K\s*\|\s*\d+\n', E'\n', 'g'), '\|[\s\-|]+\|', '', 'g')""")
 
 
 @query(f"SELECT DISTINCT filing_id, length(c) AS chars, sha256(c) AS digest FROM (SELECT filing_id, {_CLEAN} AS c FROM filings WHERE full_document IS NOT NULL)")

@@ -26,7 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
     ``SPREAD_BYTES`` are never shuffled by it, however many cores there are.
     """
     plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
-    if int(plan.optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
