@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingloom.functions.words import mix, words
+from filingloom.llm.words import mix, words
 from filingloom.sources.tables import cut, small, written
 
 #: Values of a long text's sketch; they estimate a candidate pair's Jaccard.
@@ -273,9 +273,86 @@ def _union_estimate(threshold: float) -> float:
     return threshold - 4 * math.sqrt(threshold * (1 - threshold) / ESTIMATE)
 
 
-def exact_jaccard(a: str, b: str, size: int) -> float:
-    x, y = ({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (words(a), words(b)))
-    return len(x & y) / len(x | y) if x or y else 0.0
+#: Shingles, and texts, of a block: a cell of two blocks is what a task holds while it verifies.
+BLOCK_SHINGLES, BLOCK_TEXTS, LEAST_BLOCKS = 2_000_000, 2_000, 16
+
+
+class ExactSets:
+    """Sets of shingles as sorted arrays of exact codes, comparable within one instance."""
+
+    def __init__(self, size: int):
+        self.size, self.bits, self.numbers, self.sets = size, 63 // size, {}, {}
+
+    def add(self, key: int, text: str) -> None:
+        numbers = self.numbers
+        ids = np.array([numbers.setdefault(w, len(numbers)) for w in words(text)], np.uint64)
+        n = len(ids) - self.size + 1
+        if len(numbers) <= 1 << self.bits:
+            code = sum((ids[i : i + n] << np.uint64(self.bits * i) for i in range(self.size)), np.zeros(n, np.uint64)) if n > 0 else ids[:0]
+        else:  # rows of word numbers, compared as bytes
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, self.size)) if n > 0 else np.zeros((0, self.size), np.uint64)
+            code = rows.view(f"V{8 * self.size}").ravel()
+        self.sets[key] = np.unique(code)
+
+    def jaccard(self, a: int, b: int) -> float:
+        x, y = self.sets[a], self.sets[b]
+        if x.dtype != y.dtype:  # the words outgrew the packed form between the two
+            return self._by_rows(x, y)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / (len(x) + len(y) - both) if len(x) or len(y) else 0.0
+
+    def _by_rows(self, x: np.ndarray, y: np.ndarray) -> float:
+        tuples = lambda s: {tuple((int(v) >> self.bits * i) & ((1 << self.bits) - 1) for i in range(self.size)) for v in s} if s.dtype == np.uint64 else {tuple(np.frombuffer(v.tobytes(), np.uint64).tolist()) for v in s}
+        a, b = tuples(x), tuples(y)
+        return len(a & b) / len(a | b) if a or b else 0.0
+
+
+def verified(texts: DataFrame, likely: DataFrame, shingles: int, count: int, size: int, threshold: float) -> DataFrame:
+    """``(key_a, key_b, jaccard)`` of the pairs ``likely (a, b)`` that reach the threshold exactly, with ``texts (id, t)``.
+
+    Ids are dealt into blocks, so large (``shingles`` and ``count`` of all ids) that two of them fit in a task. A cell is a pair of
+    blocks; a text is sent once to each cell that has a pair of it, not once for each pair, so the texts of a family of m
+    near-copies are sent as often as there are blocks. In a cell each text is split once. Of several
+    texts of one id the smallest counts.
+    """
+    blocks = max(LEAST_BLOCKS, -(-shingles // BLOCK_SHINGLES), -(-count // BLOCK_TEXTS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = likely.withColumn("cell", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b")))
+    sides = small(pairs.select(F.explode(F.array("a", "b")).alias("id"), "cell").distinct())
+    rows = texts.join(sides, "id").select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "t")
+    rows = rows.unionByName(pairs.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("t")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, sets = None, {}, ExactSets(size)
+        for f in frames:
+            found = []
+            for c, kind, a, b, t in zip(f["cell"].tolist(), f["kind"].tolist(), f["a"].tolist(), f["b"].tolist(), f["t"]):
+                if c != cell:
+                    cell, held, sets = c, {}, ExactSets(size)
+                if kind == 0:
+                    held[a] = min(t, held[a]) if a in held else t
+                    continue
+                for k in (a, b):
+                    if k not in sets.sets:
+                        sets.add(k, held.pop(k))
+                j = sets.jaccard(a, b)
+                if j >= threshold - 1e-12:
+                    found.append((a, b, j))
+            yield pd.DataFrame(found, columns=["key_a", "key_b", "jaccard"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInPandas(run, "key_a long, key_b long, jaccard double")
+
+
+def _classes(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(same, class)`` and ``members (id, class)`` out of sketches."""
+    ids = made.select("id", "same")
+    firsts = ids.groupBy("same").agg(F.min("id").alias("class"))
+    return firsts, ids.join(firsts, "same").groupBy("id").agg(F.min("class").alias("class"))
+
+
+def classes(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``(id, class)``: the smallest id with the same set of shingles, without any search for near-duplicates. Cases as in :func:`near_duplicates`."""
+    return _classes(written(sketches(df, key, text, size, threshold).select("id", "same")))[1]
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -291,9 +368,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     other columns are ignored.
     """
     made = written(sketches(df, key, text, size, threshold))
-    ids = made.select("id", "same")
-    firsts = ids.groupBy("same").agg(F.min("id").alias("class"))
-    members = ids.join(firsts, "same").groupBy("id").agg(F.min("class").alias("class"))
+    firsts, members = _classes(made)
     # one shuffle by key serves both sides of the join and the removal of classes that several tasks have listed
     lists = inverted_lists(made, threshold).repartition("key").dropDuplicates(["key", "same"])
     met = lists.alias("a").join(lists.alias("b"), F.col("a.key") == F.col("b.key")).where(F.expr("a.same < b.same") & _may_reach(threshold))
@@ -306,19 +381,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     sample = F.when(F.greatest("na", "nb") < whole, 2 * whole).otherwise(ESTIMATE)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), F.lit(1), sample)
     estimate = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    likely = pairs.where(estimate >= _union_estimate(threshold)).select("a", "b")
+    likely = pairs.where(estimate >= _union_estimate(threshold)).select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
     a, b = firsts.toDF("a", "ca"), firsts.toDF("b", "cb")
-    likely = written(likely.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a < b"))
+    likely = written(likely.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "n").where("a < b"))
+    # the shingles of all pairs are at least those of all texts in pairs; so many blocks are enough
+    total = made.agg(F.sum("n").alias("n"), F.count("*").alias("c")).crossJoin(likely.agg(F.sum("n").alias("pn"), F.count("*").alias("pc"))).first()
     texts = df.select(df[key].cast("long").alias("id"), df[text].alias("t")).where("id is not null and t is not null")
-    sides = small(likely.select(F.explode(F.array("a", "b")).alias("id"), "a", "b"))
-    met = texts.join(sides, "id").groupBy("a", "b").agg(F.min(F.when(F.col("id") == F.col("a"), F.col("t"))).alias("ta"), F.min(F.when(F.col("id") == F.col("b"), F.col("t"))).alias("tb"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["j"] = [exact_jaccard(x, y, size) for x, y in zip(f["ta"], f["tb"])]
-            yield f.loc[f["j"] >= threshold - 1e-12, ["a", "b", "j"]]
-
-    return met.mapInPandas(run, "a long, b long, j double").toDF("key_a", "key_b", "jaccard"), members
+    shingles, count = min(total.n or 0, total.pn or 0), min(total.c, 2 * total.pc)
+    return verified(texts, likely.select("a", "b"), shingles, count, size, threshold), members
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -329,12 +399,13 @@ def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return copies.select("x", "y").unionByName(near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).toDF("key_a", "key_b")
 
 
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, rounds: int = 200) -> DataFrame:
     """``(id, group)`` of the ids in ``pairs``: the smallest id of their connected component.
 
     Alternating large-star and small-star steps on the links, each a group-by with a map-side minimum; the links
     stay distributed and are checkpointed, only the count of changed links comes to the driver. A hot id is a
-    star, and a star is what the steps make: they never pair the neighbours of an id with each other.
+    star, and a star is what the steps make: they never pair the neighbours of an id with each other. The steps end when no link
+    changes, after about the square of the logarithm of the largest component; links that still change after ``rounds`` are an error.
     """
     links = cut(pairs.toDF("u", "v").where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
     before = None
@@ -351,6 +422,8 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"links still change after {rounds} rounds")
     return links.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("group"))).groupBy("id").agg(F.min("group").alias("group"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.functions.words import mix
+from filingloom.llm.words import mix
 from filingloom.sources.tables import written
 
 #: Characters of an anchor.

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from filingloom.functions.words import words
+from filingloom.llm.words import words
 from filingloom.llm.neardup import all_pairs, bands, groups, near_duplicates, sketches, stock_values
 
 
