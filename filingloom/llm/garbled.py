@@ -40,6 +40,8 @@ SHARE = 0.5
 PRIOR = 1e-3
 #: Pairs of characters that the driver and the workers can hold; all are kept, and a collection of more is refused.
 MOST_PAIRS = 1_000_000
+#: Groups up to which priors are sent to the tasks, and rounds after which EM that doesn't settle is an error.
+MOST_SENT, MOST_ROUNDS = 10_000, 200
 
 # Encodings in which UTF-8 has been read, and (read in, written in) pairs of older encodings.
 UTF8_READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_2")
@@ -84,14 +86,13 @@ def _utf8_undo(encoding: str) -> Callable[[str], str | None]:
 
     def undo(word: str) -> str | None:
         out = word
-        for _ in range(5):
+        while True:  # every turn that changes the word makes it shorter, or mends its last letter
             new = pattern.sub(decode, out)
             if encoding == "cp1252":
                 new = bare.sub("\xe0", cut.sub(chr(0x201D), new))
             if new == out:
-                break
+                return out if out != word else None
             out = new
-        return out if out != word else None
 
     return undo
 
@@ -185,9 +186,13 @@ def _utf8_like(word: str) -> bool:
     return False
 
 
+# a bar after a plain character, or at the start, sets columns apart; one after another character may be the half of a garbled one
+_BAR = re.compile(r"(?<![^\x00-\x7f])\|")
+
+
 def _parts(token: str) -> list[str]:
-    """Long tokens are columns set apart by bars; in short ones a bar may be half of a garbled character."""
-    return token.split("|") if len(token) > 40 and token.isprintable() else [token]
+    """The columns of a token that are set apart by bars; joined by bars they are the token again."""
+    return _BAR.split(token)
 
 
 def _foreign(text: str) -> list[str]:
@@ -274,9 +279,11 @@ def _records(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
     return df.select(df[key].cast("long").alias("k"), F.coalesce(df[group].cast("string"), F.lit("")).alias("g"), df[text].alias("t")).where("k is not null and t is not null")
 
 
-def garbled(df: DataFrame, key: str, text: str, group: str, rounds: int = 6) -> tuple[DataFrame, Scorer]:
+def garbled(df: DataFrame, key: str, text: str, group: str, tolerance: float = 1e-3) -> tuple[DataFrame, Scorer]:
     """``(k, chain, posterior, lost)`` of every affected record, and the scorer that repairs.
 
+    EM goes on until no prior of any group moves by more than ``tolerance``.
+
     ``chain`` is the likeliest chain's number (-1 if only lost characters tell), ``posterior`` the probability that
     the record is affected at all. Null, empty and plain ASCII texts and null keys are never affected; records
     with a null group form a group; rows of one key count once, the likelier one first; an empty table gives an
@@ -299,18 +306,23 @@ def garbled(df: DataFrame, key: str, text: str, group: str, rounds: int = 6) ->
             yield pa.RecordBatch.from_pylist([dict(zip(("k", "g", "lost", "e"), o)) for o in out], schema=_SCHEMA)
 
     evidence = written(foreign.mapInArrow(run, "k long, g string, lost boolean, e array<struct<c:int,e:double>>"))
-    totals = rows.groupBy("g").agg(F.count("*").alias("total"))
+    totals = written(rows.groupBy("g").agg(F.count("*").alias("total")))
     names = len(chains())
+    # one row of a few hundred bytes a group: sent to the tasks while there are few groups, joined by a shuffle else
+    sent = F.broadcast if totals.count() <= MOST_SENT else lambda d: d
     prior = totals.select("g", "total", F.array_repeat(F.lit(PRIOR), names).alias("p"))
-    for _ in range(rounds):
-        post = _posterior(evidence, prior)
-        mass = post.select("g", F.explode("w").alias("w")).groupBy("g", "w.c").agg(F.sum("w.p").alias("m"))
+    for _ in range(MOST_ROUNDS):
+        mass = _posterior(evidence, sent(prior)).select("g", F.explode("w").alias("w")).groupBy("g", "w.c").agg(F.sum("w.p").alias("m"))
         mass = mass.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("m"))
         # one pseudo-record a chain, spread by the first prior, keeps every chain possible
         share = F.transform(F.sequence(F.lit(0), F.lit(names - 1)), lambda c: (F.coalesce(F.try_element_at("m", c), F.lit(0.0)) + 50 * PRIOR) / (F.col("total") + 50))
-        prior = totals.join(mass, "g", "left").select("g", "total", share.alias("p"))
-        prior = written(prior)
-    post = _posterior(evidence, prior)
+        moved = F.array_max(F.zip_with("p", "now", lambda a, b: F.abs(a - b)))
+        prior = written(prior.join(sent(mass), "g", "left").withColumn("now", share).select("g", "total", F.col("now").alias("p"), moved.alias("moved")))
+        if (prior.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"priors still move by more than {tolerance} after {MOST_ROUNDS} rounds")
+    post = _posterior(evidence, sent(prior))
     best = F.array_max(F.transform("w", lambda w: F.struct(w["p"].alias("p"), (-w["c"]).alias("c"))))
     chosen = post.select("k", "lost", F.when((F.size("w") > 0) & (F.col("none") < 0.5), -best["c"]).otherwise(-1).alias("chain"), F.when(F.col("lost"), 1.0).otherwise(1 - F.col("none")).alias("posterior"))
     chosen = chosen.where("posterior > 0.5")
@@ -323,7 +335,7 @@ _SCHEMA = pa.schema([("k", pa.int64()), ("g", pa.string()), ("lost", pa.bool_())
 
 def _posterior(evidence: DataFrame, prior: DataFrame) -> DataFrame:
     """E-step: ``none`` and the chains' posteriors ``w`` of every record with evidence."""
-    x = evidence.join(small(prior, 10_000), "g")
+    x = evidence.join(prior, "g")
     # relative to the greatest evidence, so that nothing overflows
     x = x.withColumn("top", F.greatest(F.coalesce(F.array_max(F.transform("e", lambda e: e["e"])), F.lit(0.0)), F.lit(0.0)))
     odds = F.transform("e", lambda e: F.struct(e["c"].alias("c"), (F.try_element_at("p", e["c"] + 1) * F.exp(e["e"] - F.col("top"))).alias("o")))

@@ -101,3 +101,32 @@ def test_pairs_are_whole_or_refused(spark, monkeypatch):
     monkeypatch.setattr(g, "MOST_PAIRS", len(whole) - 1)
     with pytest.raises(ValueError):
         g.count_pairs(texts)
+
+
+@pytest.mark.parametrize("times", [1, 2, 6, 9])
+@pytest.mark.parametrize("encoding", ["cp1252", "mac_roman", "cp437"])
+def test_undone_however_often(times, encoding):
+    undo = dict(g.chains())[f"utf-8 as {encoding}"]
+    word = "r\xe9sum\xe9"
+    for _ in range(times):
+        word = word.encode("utf-8").decode(encoding)
+    assert undo(word) == "r\xe9sum\xe9"
+
+
+@pytest.mark.parametrize("cells", [2, 20])
+def test_columns_are_words_of_their_own_whatever_their_number(cells):
+    assert g._foreign("|".join(["cr\xe8me", "plain"] * cells)) == g._foreign(" ".join(["cr\xe8me", "plain"] * cells))
+    # the second half of a character of Shift JIS
+    garbled_word = "\u30dd".encode("cp932").decode("cp1252")
+    assert g._foreign(garbled_word) == [garbled_word] and "|" in garbled_word
+
+
+def test_em_settles_or_is_an_error(spark, monkeypatch):
+    rows, _, _ = corpus()
+    df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, source string")
+    loose = {r.k for r in g.garbled(df, "doc_id", "text", "source", tolerance=1e-2)[0].collect()}
+    tight = {r.k for r in g.garbled(df, "doc_id", "text", "source", tolerance=1e-5)[0].collect()}
+    assert loose == tight
+    monkeypatch.setattr(g, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        g.garbled(df, "doc_id", "text", "source", tolerance=1e-9)
