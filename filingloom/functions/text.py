@@ -69,3 +69,23 @@ def title_case(c: Column) -> Column:
     letter = lambda x: x.rlike(r"\p{L}")
     raised = F.transform(letters, lambda x, i: F.when((i == 0) | ~letter(F.coalesce(F.try_element_at(letters, i), F.lit(" "))), F.upper(x)).otherwise(x))
     return F.array_join(raised, "")
+
+
+def signed(c: Column, digits: int = 3) -> Column:
+    """A number with its sign and a fixed number of digits; null as ``N/A``."""
+    return F.when(c.isNull(), "N/A").otherwise(F.format_string(f"%+.{digits}f", c.cast("double")))
+
+
+def per_cent(c: Column, digits: int = 1) -> Column:
+    """A share in per cent; null as ``N/A``."""
+    return F.when(c.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f%%", c.cast("double") * 100))
+
+
+def stamp(c: Column | None = None) -> Column:
+    """A timestamp as it stands in file names, of now by default; no query's result holds it."""
+    return F.date_format(c if c is not None else F.current_timestamp(), "yyyyMMdd_HHmmss")
+
+
+def without_zeros(c: Column) -> Column:
+    """A number in text without leading zeros; ``0`` for nothing but zeros."""
+    return F.when(c.rlike("^0+$"), "0").otherwise(F.regexp_replace(c, "^0+", ""))

@@ -56,4 +56,4 @@ def token_windows(df: DataFrame, keys: list[str], text: str, size: int = 510, st
     w = df.select(*keys, words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.slice(F.sequence(F.lit(0), F.size("w") - 1, F.lit(stride)), 1, most)
     rows = w.select(*keys, F.posexplode(F.transform(starts, lambda s: F.slice("w", s + 1, size))).alias("window_no", "tokens"))
-    return rows.select(*keys, "window_no", F.size("tokens").alias("n_tokens"), F.element_at("tokens", 1).alias("first_token"), F.element_at("tokens", -1).alias("last_token"))
+    return rows.select(*keys, "window_no", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("window_text"))

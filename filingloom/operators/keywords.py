@@ -35,6 +35,11 @@ def polarity_total(counts: Column, polarity: str) -> Column:
     return F.aggregate(F.filter(counts, lambda x: x["polarity"] == polarity), F.lit(0), lambda a, x: a + x["n"])
 
 
+def active_groups(counts: Column, polarity: str) -> Column:
+    """How many groups of a polarity are mentioned at all."""
+    return F.size(F.filter(counts, lambda x: (x["polarity"] == polarity) & (x["n"] > 0)))
+
+
 def top_groups(counts: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     """The ``k`` most mentioned groups of each key that are mentioned at all; ties by name."""
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "grp")
@@ -58,6 +63,15 @@ def deltas(counts: DataFrame, entity: str, order: str, include_future: bool = Tr
     return df.withColumn("delta", delta)
 
 
+def delta_signals(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """The ``k`` groups of each key that moved most, as ``(keys, grp, type, delta, rank)``; ties by name. Rows as ``deltas`` gives them."""
+    risk = F.when(F.col("polarity") == "bear", "risk").otherwise("opportunity")
+    move = F.when(F.col("delta") > 0.5, "increase").when(F.col("delta") < -0.3, "decrease")
+    d = df.select(*keys, "grp", F.concat_ws("_", risk, move).alias("type"), F.round("delta", 6).alias("delta"), move.alias("_m")).where("_m is not null")
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("delta")), "grp")
+    return d.drop("_m").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def delta_score(df: DataFrame, keys: list[str], scale: float = 0.6) -> DataFrame:
     """Score of each key from group deltas: a rise above .5 counts for its polarity (up to 3), a fall below -.3 for the other (up to 2)."""
     up, down = F.least(F.col("delta"), F.lit(3.0)), F.least(F.abs("delta"), F.lit(2.0))

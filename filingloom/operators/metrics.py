@@ -84,25 +84,39 @@ def weight_cells(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, a / 20.0, b / 20.0, c / 20.0) for i, (a, b, c) in enumerate(cells)], "cell int, w1 double, w2 double, w3 double")
 
 
-def best_cell(cells: DataFrame, rows: DataFrame, score: Column, low: Column, high: Column) -> DataFrame:
-    """Directional accuracy of every cell: ``cell, hits, total, accuracy``; one broadcast of the cells, one aggregate with map-side combine."""
-    d = rows.where("m <> 0").crossJoin(F.broadcast(cells)).withColumn("x", score)
-    s = F.when(F.col("x") >= high, 1).when(F.col("x") < low, -1).otherwise(0)
-    d = d.withColumn("s", s).where("s <> 0").groupBy("cell").agg(F.count_if(F.col("s") == F.col("m")).alias("hits"), F.count("*").alias("total"))
-    out = cells.join(F.broadcast(d), "cell", "left").na.fill(0, ["hits", "total"])
+def _graded(cells: DataFrame, counted: DataFrame) -> DataFrame:
+    """``cell, ..., hits, total, accuracy`` of every cell out of ``(cell, hits, total)`` of those that have any."""
+    out = cells.join(F.broadcast(counted), "cell", "left").na.fill(0, ["hits", "total"])
     return out.withColumn("accuracy", share(F.col("hits"), F.col("total")))
 
 
+def best_cell(cells: DataFrame, rows: DataFrame, components: list[str], score: Column, low: float, high: float) -> DataFrame:
+    """Directional accuracy of every cell of weights: equal rows are counted first, then each is scored once for each cell."""
+    rows = rows.where("m <> 0").groupBy(*components, "m").agg(F.count("*").alias("_n"))
+    d = rows.crossJoin(F.broadcast(cells)).withColumn("x", score)
+    s = F.when(F.col("x") >= high, 1).when(F.col("x") < low, -1).otherwise(0)
+    d = d.withColumn("s", s).where("s <> 0").groupBy("cell").agg(F.sum(F.when(F.col("s") == F.col("m"), F.col("_n")).otherwise(0)).alias("hits"), F.sum("_n").alias("total"))
+    return _graded(cells, d)
+
+
 def threshold_grid(df: DataFrame) -> DataFrame:
+    """Directional accuracy of every pair of thresholds. Rows are counted by move and by how many of the 16 thresholds the score reaches; only those counts meet the cells."""
     cells = threshold_cells(df.sparkSession)
-    return best_cell(cells, _marked(df).where("score is not null").select("score", "m"), F.col("score"), F.col("sell"), F.col("buy"))
+    bounds = [(i - 8) * 5 / 100.0 for i in range(8)] + [(j + 1) * 5 / 100.0 for j in range(8)]
+    reached = sum(((F.col("score") >= b).cast("int") for b in bounds), F.lit(0))
+    counts = _marked(df).where("score is not null and m <> 0").groupBy(reached.alias("_b"), "m").agg(F.count("*").alias("_n"))
+    sell, buy = F.floor(F.col("cell") / 8), F.col("cell") % 8
+    side_of = F.when(F.col("_b") > 8 + buy, 1).when(F.col("_b") <= sell, -1)
+    # at most 34 rows of counts
+    d = cells.crossJoin(F.broadcast(counts)).withColumn("s", side_of).where("s is not null")
+    return _graded(cells, d.groupBy("cell").agg(F.sum(F.when(F.col("s") == F.col("m"), F.col("_n")).otherwise(0)).alias("hits"), F.sum("_n").alias("total")))
 
 
 def weight_grid(df: DataFrame, components: list[str], low: float = -0.2, high: float = 0.2) -> DataFrame:
     """Cells of weights over three component scores; rows that lack one are left out."""
     rows = reduce(lambda d, c: d.where(F.col(c).isNotNull()), components, df).withColumn("m", move(F.col("direction"))).select(*components, "m")
     score = sum((F.col(c) * F.col(w) for c, w in zip(components[1:], ("w2", "w3"))), F.col(components[0]) * F.col("w1"))
-    return best_cell(weight_cells(df.sparkSession), rows, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), F.lit(low), F.lit(high))
+    return best_cell(weight_cells(df.sparkSession), rows, components, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), low, high)
 
 
 def section_weight_grid(df: DataFrame, sections: list[str], low: float = -0.2, high: float = 0.2) -> DataFrame:
@@ -114,7 +128,7 @@ def section_weight_grid(df: DataFrame, sections: list[str], low: float = -0.2, h
     weights = list(zip(sections, ("w1", "w2", "w3")))
     value = sum((F.coalesce(F.col(c) * F.col(w), F.lit(0.0)) for c, w in weights), F.lit(0.0))
     weight = sum((F.when(F.col(c).isNotNull(), F.col(w)).otherwise(0.0) for c, w in weights), F.lit(0.0))
-    return best_cell(weight_cells(df.sparkSession), rows, F.coalesce(F.try_divide(value, weight), F.lit(0.0)), F.lit(low), F.lit(high))
+    return best_cell(weight_cells(df.sparkSession), rows, sections, F.coalesce(F.try_divide(value, weight), F.lit(0.0)), low, high)
 
 
 def first_best(grid: DataFrame) -> DataFrame:
@@ -122,6 +136,28 @@ def first_best(grid: DataFrame) -> DataFrame:
     return grid.where("accuracy > 0").orderBy(F.desc("accuracy"), "cell").limit(1)
 
 
-def recommend(grid: DataFrame, current: float, least: float = 0.01) -> DataFrame:
-    """The best cell with whether it is better than ``current`` by more than ``least``."""
-    return first_best(grid).withColumn("improvement", F.col("accuracy") - current).withColumn("adopt", F.col("accuracy") - current > least)
+#: Rows below which a grid has nothing to say.
+LEAST_POINTS = 5
+
+
+def recommend(grid: DataFrame, name: str, original: DataFrame, least: float = 0.01) -> DataFrame:
+    """``grid, data_points, best_cell, accuracy, original, improvement, adopt`` of one grid, always one row.
+
+    ``original`` has one row ``(data_points, original)``. Below ``LEAST_POINTS`` rows, or if no cell is above 0, there is no
+    best cell; it is adopted only if it is better than the original by more than ``least``.
+    """
+    best = F.broadcast(first_best(grid).select(F.col("cell").alias("best_cell"), "accuracy"))
+    out = original.join(best, F.col("data_points") >= LEAST_POINTS, "left").withColumn("improvement", F.col("accuracy") - F.col("original"))
+    return out.select(F.lit(name).alias("grid"), "data_points", "best_cell", "accuracy", "original", "improvement", F.coalesce(F.col("improvement") > least, F.lit(False)).alias("adopt"))
+
+
+def original_accuracy(df: DataFrame) -> DataFrame:
+    """``(data_points, original)``: how many rows there are and the directional accuracy of the signals as they are."""
+    d = _marked(df)
+    firm = (F.col("s") != 0) & (F.col("m") != 0)
+    return d.agg(F.count("*").alias("data_points"), share(F.count_if(firm & (F.col("s") == F.col("m"))), F.count_if(firm)).alias("original"))
+
+
+def with_fallback(first: DataFrame, second: DataFrame, entity: str) -> DataFrame:
+    """The rows of ``first``, and of ``second`` for the entities that ``first`` hasn't any of."""
+    return first.unionByName(second.join(first.select(entity).distinct(), entity, "left_anti"), allowMissingColumns=True)

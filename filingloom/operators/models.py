@@ -6,6 +6,7 @@ are called in Arrow batches in the workers, where a factory makes them once.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -81,3 +82,28 @@ def outlook_scores(df: DataFrame, item_7: str, item_1a: str, factory: Callable[[
     head = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
     prompt = F.concat(F.lit("Outlook of this filing as JSON.\nDiscussion:\n"), head(item_7, 2000), F.lit("\nRisks:\n"), head(item_1a, 1000))
     return ask(df.withColumn("_prompt", prompt), "_prompt", "_reply", factory).withColumn("outlook", reply_score(F.coalesce("_reply", F.lit("")))).drop("_prompt", "_reply")
+
+
+def softmax(scores: list[float]) -> list[float]:
+    """Probabilities of raw scores; for classifiers that give those."""
+    top = max(scores, default=0.0)
+    powers = [math.exp(x - top) for x in scores]
+    return [p / sum(powers) for p in powers]
+
+
+def provider(wanted: str, available: dict[str, Callable[[], Client] | None]) -> tuple[str, Callable[[], Client]] | None:
+    """The client factory of a named provider, or with ``auto`` of the first that is there, in the order given; None without any."""
+    names = list(available) if wanted.lower() == "auto" else [wanted.lower()]
+    return next(((n, available[n]) for n in names if available.get(n) is not None), None)
+
+
+def anomaly_notes(df: DataFrame, ticker: str, kind: str, title: str, description: str, contexts: str, factory: Callable[[], Client] | None) -> DataFrame:
+    """Adds ``explanation``: two or three sentences of a model on each anomaly; a fixed sentence where it fails, null without a model."""
+    if factory is None:
+        return df.withColumn("explanation", F.lit(None).cast("string"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.concat(
+        F.lit("An anomaly of type "), text(kind), F.lit(" was found in a filing of "), text(ticker), F.lit(".\nTitle: "), text(title), F.lit("\nDescription: "), text(description),
+        F.lit("\nContext: "), F.coalesce(F.array_join(contexts, "; "), F.lit("")), F.lit("\nSay in two or three sentences why it matters."),
+    )
+    return ask(df.withColumn("_prompt", said), "_prompt", "explanation", factory).withColumn("explanation", F.coalesce(F.trim("explanation"), F.lit("LLM analysis unavailable."))).drop("_prompt")

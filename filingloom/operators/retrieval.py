@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions.dictionary import FOLLOW_UPS, SYNONYMS
 from filingloom.functions.text import words
+from filingloom.sources.tables import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,18 +22,36 @@ def norm(a: Column) -> Column:
     return F.greatest(F.sqrt(dot(a, a)), F.lit(1e-10))
 
 
-def cosine_topk(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int = 5, same: str | None = None) -> DataFrame:
+#: Rows, and bytes, of a query block; a block is broadcast to the scan of the other side.
+BLOCK_ROWS, BLOCK_BYTES = 2_000, 32 << 20
+
+
+def _in_blocks(queries: DataFrame, best: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame], rows: int = BLOCK_ROWS) -> DataFrame:
+    """``best`` of a stated query set of any size: each block of about ``rows`` queries (fewer, if they are long) is broadcast and met with the whole other side.
+
+    A block is a scan of its own that keeps only its best rows, and is written before the next one starts; a single block is one
+    scan, without writing. No plan holds a join without a bound on one of its sides.
+    """
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*queries.columns)))), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size.n // rows), -(-size.b // BLOCK_BYTES))
+    if blocks == 1:
+        return rank(best(F.broadcast(queries)))
+    queries = written(queries.withColumn("_block", F.pmod(F.xxhash64("q_key"), F.lit(blocks))))
+    parts = [written(rank(best(F.broadcast(queries.where(F.col("_block") == b).drop("_block"))))) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cosine_topk(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int = 5, same: str | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """``(q_key, key, similarity, rank)``: for each query row the ``k`` most similar index rows with a similarity above 0, itself left out.
 
-    Exact. The queries are a stated set; they are broadcast by Spark if small and joined in blocks otherwise, each
-    block keeping its own best ``k`` by an aggregate with map-side combine before the final ranking. ``same`` names
-    a column that has to agree.
+    Exact. The queries are a stated set, met in blocks of ``rows``; the rank limit works in each task before anything is moved.
+    ``same`` names a column that has to agree; queries and index are then joined on it if there are many queries.
     """
     q = queries.select(F.col(key).alias("q_key"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"), *([F.col(same).alias("_qs")] if same else []))
     x = index.select(F.col(key), F.col(vector).alias("_x"), norm(F.col(vector)).alias("_xn"), *([F.col(same).alias("_xs")] if same else []))
     on = (F.col("q_key") != F.col(key)) & ((F.col("_qs") == F.col("_xs")) if same else F.lit(True))
-    pairs = x.join(q, on).select("q_key", key, (dot(F.col("_q"), F.col("_x")) / (F.col("_qn") * F.col("_xn"))).alias("similarity")).where("similarity > 0")
-    return top(pairs, "q_key", "similarity", key, k)
+    pairs = lambda part: x.join(part, on).select("q_key", key, (dot(F.col("_q"), F.col("_x")) / (F.col("_qn") * F.col("_xn"))).alias("similarity")).where("similarity > 0")
+    return _in_blocks(q, pairs, lambda d: top(d, "q_key", "similarity", key, k), rows)
 
 
 def top(df: DataFrame, group: str, by: str, tie: str, k: int) -> DataFrame:
@@ -40,13 +60,23 @@ def top(df: DataFrame, group: str, by: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, q_key: str, question: str, key: str, text: str, k: int = 5) -> DataFrame:
-    """``(q_key, key, share, rank)``: texts by the share of the question's distinct tokens that they hold as substrings, above 0."""
+def keyword_topk(queries: DataFrame, docs: DataFrame, q_key: str, question: str, key: str, text: str, k: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(q_key, key, share, rank)``: texts by the share of the question's distinct tokens that they hold as substrings, above 0.
+
+    The questions are a stated set, met in blocks of ``rows``, as in :func:`cosine_topk`; ``q_key`` may be a struct.
+    """
     q = queries.select(F.col(q_key).alias("q_key"), F.array_distinct(words(F.lower(question))).alias("_w")).where(F.size("_w") > 0)
-    d = docs.select(F.col(key), F.lower(text).alias("_t"))
+    d = docs.select(F.col(key), F.lower(text).alias("_t")).where("_t is not null")
     hits = F.size(F.filter("_w", lambda w: F.contains(F.col("_t"), w)))
-    pairs = d.join(q).select("q_key", key, (hits / F.size("_w")).alias("share")).where("share > 0")
-    return top(pairs, "q_key", "share", key, k)
+    pairs = lambda part: d.join(part, F.lit(True)).select("q_key", key, (hits / F.size("_w")).alias("share")).where("share > 0")
+    return _in_blocks(q, pairs, lambda x: top(x, "q_key", "share", key, k), rows)
+
+
+def expanded_topk(queries: DataFrame, docs: DataFrame, q_key: str, question: str, key: str, text: str, k: int = 5, most: int = 3) -> DataFrame:
+    """``(q_key, key, share, rank)`` over up to ``most`` variations of each question: twice ``k`` texts of each, fused by the best share."""
+    v = queries.select(q_key, F.posexplode(expansions(F.col(question), most=most)).alias("_n", "_v")).select(F.struct(F.col(q_key).alias("q"), F.col("_n").alias("n")).alias("_k"), "_v")
+    found = keyword_topk(v, docs, "_k", "_v", key, text, 2 * k).select(F.col("q_key.q").alias("q_key"), key, "share")
+    return fuse(found, "q_key", [key], "share", k)
 
 
 def fallback(first: DataFrame, second: DataFrame, group: str) -> DataFrame:
@@ -99,29 +129,69 @@ def is_follow_up(question: Column) -> Column:
     return F.trim(F.lower(question)).rlike("^(" + "|".join(FOLLOW_UPS) + ")")
 
 
-def with_history(turns: DataFrame, conversation: str, turn: str, question: str) -> DataFrame:
-    """Adds the last question before and the expanded question: the one before put in front of a follow-up."""
+def with_history(turns: DataFrame, conversation: str, turn: str, text: str, role: str | None = None) -> DataFrame:
+    """Adds the last question before and the expanded question: the one before put in front of a follow-up.
+
+    With ``role``, turns are of ``user`` and ``assistant``, and only the user's count as questions.
+    """
     w = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(question, ignorenulls=True).over(w)
-    return turns.withColumn("before", before).withColumn("expanded", F.when(is_follow_up(F.col(question)) & F.col("before").isNotNull(), F.concat_ws(" ", "before", question)).otherwise(F.col(question)))
+    asked = F.col(text) if role is None else F.when(F.col(role) == "user", F.col(text))
+    before = F.last(asked, ignorenulls=True).over(w)
+    return turns.withColumn("before", before).withColumn("expanded", F.when(is_follow_up(F.col(text)) & F.col("before").isNotNull(), F.concat_ws(" ", "before", text)).otherwise(F.col(text)))
 
 
-def history_window(turns: DataFrame, conversation: str, turn: str, text: str, most: int = 10, chars: int = 200) -> DataFrame:
-    """The last turns of each conversation in one line each, cut to ``chars`` characters."""
+# How turns are labelled, what stands between excerpts, and what is said without any.
+ROLES = {"user": "User", "assistant": "Assistant"}
+BETWEEN = "\n\n---\n\n"
+NOTHING = "No relevant information found in the indexed filings."
+
+
+def history_window(turns: DataFrame, conversation: str, turn: str, text: str, most: int = 10, chars: int = 200, role: str | None = None) -> DataFrame:
+    """The last turns of each conversation in one line each, cut to ``chars`` characters, with the speaker if ``role`` is named."""
     w = Window.partitionBy(conversation).orderBy(F.desc(turn))
     kept = turns.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(turn, F.substring(text, 1, chars).alias("t")))), lambda x: x["t"])
+    said = F.substring(text, 1, chars)
+    if role is not None:
+        said = F.concat(F.when(F.col(role) == "user", ROLES["user"]).otherwise(ROLES["assistant"]), F.lit(": "), said)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(turn, said.alias("t")))), lambda x: x["t"])
     return kept.groupBy(conversation).agg(F.array_join(lines, "\n").alias("history"), F.count("*").alias("turns"))
 
 
-NOTHING = "No relevant documents were found."
+def _joined(results: DataFrame, group: str, order: str, part: Column, most: int, between: str, name: str) -> DataFrame:
+    rows = results.where(F.col(order) <= most).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))).alias("_p"))
+    return rows.select(group, F.array_join(F.transform("_p", lambda x: x["p"]), between).alias(name))
 
 
 def answer_context(results: DataFrame, group: str, order: str, head: Column, text: str, most: int = 5, chars: int = 600) -> DataFrame:
     """One text for each question out of its best results: a bracketed head and the first characters of each."""
-    part = F.concat(F.lit("["), head, F.lit("]\n"), F.substring(text, 1, chars))
-    rows = results.where(F.col(order) <= most).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))).alias("_p"))
-    return rows.select(group, F.array_join(F.transform("_p", lambda x: x["p"]), "\n\n---\n\n").alias("context"))
+    return _joined(results, group, order, F.concat(F.lit("["), head, F.lit("]\n"), F.substring(text, 1, chars)), most, BETWEEN, "context")
+
+
+def excerpts(results: DataFrame, group: str, order: str, head: Column, text: str, most: int = 3, chars: int = 500) -> DataFrame:
+    """``(group, excerpts)``: the answer where no model is at hand, the first results under their heads."""
+    return _joined(results, group, order, F.concat(F.lit("**"), head, F.lit(":**\n"), F.substring(text, 1, chars), F.lit("\n")), most, "\n", "excerpts")
+
+
+def answers(questions: DataFrame, results: DataFrame, q_key: str, question: str, head: Column, text: str, score: str, factory: Callable | None = None, history: str | None = None) -> DataFrame:
+    """``(q_key, answer, method, sources)`` of every question: the whole way from retrieved ``results (q_key, rank, ...)`` to an answer.
+
+    Each question has its context put to a model (``factory`` makes the client; ``history`` names a column with the turns before);
+    without a model, or if it fails, the answer is excerpts; without any result it is a fixed sentence. ``method`` is model,
+    excerpts or nothing, and ``sources`` are the heads with their scores, best first.
+    """
+    from filingloom.operators.models import ask
+
+    found = answer_context(results, q_key, "rank", head, text).join(excerpts(results, q_key, "rank", head, text), q_key)
+    source = F.struct("rank", head.alias("source"), F.round(score, 4).alias("score"))
+    sources = results.groupBy(q_key).agg(F.transform(F.array_sort(F.collect_list(source)), lambda s: F.struct(s["source"], s["score"])).alias("sources"))
+    out = questions.join(found, q_key, "left").join(sources, q_key, "left")
+    said = F.lit("") if history is None else F.when(F.length(history) > 0, F.concat(F.lit("Conversation context:\n"), F.col(history), F.lit("\n\n"))).otherwise("")
+    prompt = F.when(F.col("context").isNotNull(), F.concat(F.coalesce(said, F.lit("")), F.lit("Excerpts:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.coalesce(question, F.lit("")), F.lit("\n\nAnswer:")))
+    out = out.withColumn("_prompt", prompt)
+    out = ask(out, "_prompt", "_reply", factory) if factory is not None else out.withColumn("_reply", F.lit(None).cast("string"))
+    method = F.when(F.col("context").isNull(), "nothing").when(F.col("_reply").isNotNull(), "model").otherwise("excerpts")
+    answer = F.coalesce("_reply", F.concat(F.lit("Based on the filings:\n\n"), F.col("excerpts")), F.lit(NOTHING))
+    return out.select(q_key, answer.alias("answer"), method.alias("method"), F.coalesce("sources", F.expr("cast(array() as array<struct<source:string,score:double>>)")).alias("sources"))
 
 
 def company_search(companies: DataFrame, needle: str, limit: int = 10) -> DataFrame:
@@ -129,3 +199,20 @@ def company_search(companies: DataFrame, needle: str, limit: int = 10) -> DataFr
     n = needle.strip().lower()
     hit = F.contains(F.lower("company_name"), F.lit(n)) | F.contains(F.lower("ticker"), F.lit(n))
     return companies.where(hit).orderBy(F.lower("ticker") != n, F.length("company_name"), "ticker").limit(limit)
+
+
+def company_lookup(df: DataFrame, ticker: str, details: DataFrame, cached: DataFrame) -> DataFrame:
+    """Adds ``company_name`` of each row's ticker, whatever its case or spaces: from the detail records, else from cached names, else null.
+
+    ``details`` and ``cached`` have ``ticker`` and ``company_name``; of several names of a ticker the first in order counts.
+    """
+    names = lambda d, c: d.where("company_name is not null").groupBy(F.upper(F.trim("ticker")).alias("_t")).agg(F.min("company_name").alias(c))
+    out = df.withColumn("_t", F.upper(F.trim(ticker))).join(names(details, "_d"), "_t", "left").join(names(cached, "_c"), "_t", "left")
+    return out.select(*[F.col(c) for c in df.columns], F.coalesce("_d", "_c").alias("company_name"))
+
+
+def engine_status(documents: DataFrame, text: str, vectors: DataFrame, turns: DataFrame) -> DataFrame:
+    """``(documents, with_text, vectors, turns, indexed)``: what a retrieval engine has at hand, one row."""
+    count = lambda d, n: d.agg(F.count("*").alias(n))
+    d = documents.agg(F.count("*").alias("documents"), F.count_if(F.coalesce(F.col(text), F.lit("")) != "").alias("with_text"))
+    return d.crossJoin(count(vectors, "vectors")).crossJoin(count(turns, "turns")).withColumn("indexed", F.col("with_text") > 0)

@@ -10,11 +10,17 @@ from filingloom.functions.text import clean_section, trimmed
 # Headings of the three sections, and of whatever item comes next (not at any line start but after a newline).
 HEADINGS = {
     "item_1a": r"(?iU)Item\s+1A\.?\s*[\-—:]?\s*Risk\s+Factors",
-    "item_7": r"(?iU)Item\s+7\.?\s*[\-—:]?\s*Management(?:.?s)?\s+Discussion\s+(?:and\s+Analysis|of\s+Results)",
-    "item_8": r"(?iU)Item\s+8\.?\s*[\-—:]?\s*(?:Financial\s+Statements|Statements\s+and\s+Notes)",
+    "item_7": r"(?iU)Item\s+7\.?\s*[\-—:]?\s*Management.?s\s+Discussion\s+and\s+Analysis",
+    "item_8": r"(?iU)Item\s+8\.?\s*[\-—:]?\s*Financial\s+Statements",
 }
 NEXT = r"(?U)(?:^|\n)\s*I[Tt][Ee][Mm]\s+\d+[A-Za-z]?\."
 MARK = "\x01"
+#: Wider headings, for filings that write "Discussion of Results" or "Statements and Notes"; to be passed in.
+WIDER_HEADINGS = {
+    "item_1a": HEADINGS["item_1a"],
+    "item_7": r"(?iU)Item\s+7\.?\s*[\-—:]?\s*Management(?:.?s)?\s+Discussion\s+(?:and\s+Analysis|of\s+Results)",
+    "item_8": r"(?iU)Item\s+8\.?\s*[\-—:]?\s*(?:Financial\s+Statements|Statements\s+and\s+Notes)",
+}
 REACH, LEAST, APART, LONGEST, LOOK = 1000, 200, 1000, 50_000, 500
 
 

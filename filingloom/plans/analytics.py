@@ -16,6 +16,9 @@ from filingloom.operators import asof, chunks, history, keywords, metrics, retri
 from filingloom.sources.files import file_keys
 from filingloom.sources.tables import section_key, spread, table
 
+# what the queries about one ticker or year are run for, unless told otherwise
+EXAMPLE_TICKER, EXAMPLE_YEAR = "YRSTZ", 2015
+
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -79,14 +82,14 @@ def _text() -> Column:
     return F.coalesce(F.col("section_text"), F.lit(""))
 
 
-def _counted(s: SparkSession, d: str) -> DataFrame:
-    return _sections(s, d, keywords.group_counts(F.col("low"), INDUSTRIAL).alias("counts"), T.word_count(_text()).alias("words"))
+def _counted(s: SparkSession, d: str, dictionary: keywords.Dictionary = INDUSTRIAL) -> DataFrame:
+    return _sections(s, d, keywords.group_counts(F.col("low"), dictionary).alias("counts"), T.word_count(_text()).alias("words"))
 
 
-def _scored(s: SparkSession, d: str) -> DataFrame:
-    c = _counted(s, d)
+def _scored(s: SparkSession, d: str, dictionary: keywords.Dictionary = INDUSTRIAL) -> DataFrame:
+    c = _counted(s, d, dictionary)
     bear, bull = keywords.polarity_total(F.col("counts"), "bear"), keywords.polarity_total(F.col("counts"), "bull")
-    return c.withColumn("score", keywords.absolute_score(bear, bull, INDUSTRIAL))
+    return c.withColumn("score", keywords.absolute_score(bear, bull, dictionary))
 
 
 def _filings(s: SparkSession, d: str) -> DataFrame:
@@ -96,14 +99,14 @@ def _filings(s: SparkSession, d: str) -> DataFrame:
     return f.withColumn("signal", scores.signal(F.col("overall")))
 
 
-def _groups(s: SparkSession, d: str) -> DataFrame:
-    rows = _counted(s, d).select("section_id", "filing_id", "ticker", "filing_date", "section", F.explode_outer("counts").alias("c"))
+def _groups(s: SparkSession, d: str, dictionary: keywords.Dictionary = INDUSTRIAL) -> DataFrame:
+    rows = _counted(s, d, dictionary).select("section_id", "filing_id", "ticker", "filing_date", "section", F.explode_outer("counts").alias("c"))
     return rows.select("section_id", "filing_id", "ticker", "filing_date", "section", "c.*")
 
 
-def _dated(s: SparkSession, d: str) -> DataFrame:
+def _dated(s: SparkSession, d: str, dictionary: keywords.Dictionary = INDUSTRIAL) -> DataFrame:
     """Mentions of each group by ticker and date."""
-    return _groups(s, d).where("ticker is not null").groupBy("ticker", "filing_date", "grp", "polarity").agg(F.sum("n").alias("n"))
+    return _groups(s, d, dictionary).where("ticker is not null").groupBy("ticker", "filing_date", "grp", "polarity").agg(F.sum("n").alias("n"))
 
 
 _DATED = f"{_KW}, dated AS (SELECT ticker, filing_date, grp, polarity, sum(n)::BIGINT AS n FROM kw WHERE ticker IS NOT NULL GROUP BY ALL)"
@@ -136,30 +139,77 @@ def rag_paragraphs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    df = spread(table(s, d, "filings", "filing_id", "ticker", "full_document")).where("full_document is not null")
-    return chunks.chunk_rows(df.withColumn("ticker", F.upper(F.trim("ticker"))), ["filing_id", "ticker"], "full_document").distinct()
+    return chunks.chunk_rows(_filing_texts(s, d).withColumn("ticker", F.upper(F.trim("ticker"))), ["filing_id", "ticker"], "full_document")
+
+
+def _filing_texts(s: SparkSession, d: str) -> DataFrame:
+    """One row a filing: repeated rows go before the work on texts, by one shuffle that deals the texts out to all tasks too."""
+    return table(s, d, "filings", "filing_id", "ticker", "full_document").where("full_document is not null").dropDuplicates(["filing_id"])
+
+
+# the patterns of clean_section, as the SQL has them
+_CLEAN = _TRIM(r"""regexp_replace(regexp_replace(regexp_replace(full_document, '\n{3,}', E'\n\n', 'g'), '\n[A-Za-z\s]+\|\s*\d{4}\s*Form\s*10-K\s*\|\s*\d+\n', E'\n', 'g'), '\|[\s\-|]+\|', '', 'g')""")
 
 
-@query()
+def _fold_sql(source: str, size: int = 500, overlap: int = 50, least: int = 100) -> str:
+    """``folded(id, chunk_id, chunk)`` out of ``source (id, p)``, paragraph after paragraph."""
+    return f"""folded AS (WITH RECURSIVE f AS (SELECT id, 0 AS i, []::VARCHAR[] AS cur, 0::BIGINT AS wc, NULL::VARCHAR AS done FROM {source} WHERE len(p) > 0
+  UNION ALL SELECT id, i + 1, CASE WHEN over THEN [CASE WHEN nl <= {overlap} THEN cur[-1] ELSE array_to_string(list_slice(lw, nl - {overlap - 1}, nl), ' ') END, x] ELSE list_append(cur, x) END,
+    CASE WHEN over THEN least(nl, {overlap}) + n ELSE wc + n END, CASE WHEN over THEN array_to_string(cur, E'\\n\\n') END
+  FROM (SELECT *, len(lw) AS nl, wc + n > {size} AND len(cur) > 0 AS over FROM (SELECT f.*, p[i + 1] AS x, {_WORDS('p[i + 1]')} AS n, regexp_extract_all(coalesce(cur[-1], ''), '[^{_SPACE}]+') AS lw FROM f JOIN {source} USING (id) WHERE i < len(p))))
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS chunk_id, chunk FROM (SELECT id, i, done AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT id, i + 1, array_to_string(cur, E'\\n\\n') FROM f JOIN {source} USING (id) WHERE i = len(p) AND wc >= {least}))"""
+
+
+@query(f"WITH src AS (SELECT filing_id AS id, any_value(upper(trim(ticker))) AS ticker, {_PARTS('any_value(full_document)')} AS p FROM filings WHERE full_document IS NOT NULL GROUP BY filing_id), {_fold_sql('src')} SELECT id AS filing_id, ticker, chunk_id, chunk, {_WORDS('chunk')} AS word_count FROM folded JOIN src USING (id)")
 def filing_chunks(s: SparkSession, d: str) -> DataFrame:
     """Retrieval chunks of every filing: 500 words, 50 of overlap, 100 at least."""
     return _chunks(s, d)
 
 
-@query()
-def chunk_summary(s: SparkSession, d: str) -> DataFrame:
-    """Chunks and mean words in all and by ticker."""
-    return r6(chunks.chunk_summary(_chunks(s, d), "ticker"))
+def _section_chunks(s: SparkSession, d: str) -> DataFrame:
+    df = table(s, d, "sections", "section_id", "ticker", "section", "section_text").where("section_text is not null").dropDuplicates(["section_id"])
+    df = df.withColumn("ticker", F.coalesce(F.upper(F.trim("ticker")), F.lit("UNKNOWN"))).withColumn("section", section_key("section"))
+    return chunks.chunk_rows(df, ["section_id", "ticker", "section"], "section_text")
 
 
-@query()
-def section_extract(s: SparkSession, d: str) -> DataFrame:
-    """The three sections of every filing, found by their headings."""
-    return sections.extract(spread(table(s, d, "filings", "filing_id", "full_document")), ["filing_id"], "full_document").distinct()
+_SECTION_CHUNKS = f"""WITH src AS (SELECT section_id AS id, any_value(coalesce(upper(trim(ticker)), 'UNKNOWN')) AS ticker, any_value('item_' || regexp_replace(regexp_replace(lower(section), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '^item', '')) AS section,
+  {_PARTS('any_value(section_text)')} AS p FROM sections WHERE section_text IS NOT NULL GROUP BY section_id), {_fold_sql('src')}, c AS (SELECT id, ticker, section, chunk_id, chunk, {_WORDS('chunk')} AS word_count FROM folded JOIN src USING (id))"""
 
 
-# the patterns of clean_section, as the SQL has them
-_CLEAN = _TRIM(r"""regexp_replace(regexp_replace(regexp_replace(full_document, '\n{3,}', E'\n\n', 'g'), '\n[A-Za-z\s]+\|\s*\d{4}\s*Form\s*10-K\s*\|\s*\d+\n', E'\n', 'g'), '\|[\s\-|]+\|', '', 'g')""")
+@query(f"{_SECTION_CHUNKS} SELECT id AS section_id, ticker, section, chunk_id, chunk, word_count FROM c")
+def section_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The same of every section, numbered from 0 in each."""
+    return _section_chunks(s, d)
+
+
+@query(f"{_SECTION_CHUNKS} SELECT ticker, section, count(*) AS chunks, coalesce(sum(word_count), 0)::BIGINT AS words, round(coalesce(avg(word_count), 0), 6) AS mean_words, grouping(ticker)::INT AS all_ticker, grouping(section)::INT AS all_section FROM c GROUP BY GROUPING SETS ((), (ticker), (section))")
+def chunk_summary(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of sections and their mean words in all, by ticker and by section."""
+    return r6(chunks.chunk_summary(_section_chunks(s, d), "ticker", "section").na.fill(0, ["words", "mean_words"]).withColumns({c: F.col(c).cast("int") for c in ("all_ticker", "all_section")}))
+
+
+def _extract_sql() -> str:
+    """The sections of ``src (filing_id, t)`` as ``out(filing_id, section, a, b, x)``, by the same headings without their flags."""
+    bare = lambda p: p.replace("(?iU)", "").replace("(?U)", "").replace("\\s", f"[{_SPACE}]")
+    cut = lambda name, source, text, pattern, flags: (
+        f"{name}_p AS (SELECT *, string_split(regexp_replace({text}, '({pattern})', chr(1) || '\\1', '{flags}'), chr(1)) AS pc FROM {source}), "
+        f"{name} AS (SELECT * EXCLUDE (pc), j, list_sum(list_transform(pc[1:j - 1], lambda x: length(x)))::BIGINT AS pos, length(regexp_extract(pc[j], '^({pattern})', 0, '{flags.replace('g', '')}')) AS len FROM (SELECT *, unnest(range(2, len(pc) + 1)) AS j FROM {name}_p))"
+    )
+    parts, found = [], []
+    for i, (section, pattern) in enumerate(sections.WIDER_HEADINGS.items()):
+        parts.append(cut(f"h{i}", "src", "t", bare(pattern).replace("'", "''"), "gi"))
+        parts.append(f"a{i} AS (SELECT filing_id, any_value(t) AS t, coalesce(min(pos) FILTER (WHERE length({_TRIM('substring(t, pos + len + 1, 1000 - len)')}) > 200), CASE WHEN count(*) = 1 THEN min(pos) END) AS a FROM h{i} GROUP BY filing_id)")
+        parts.append(f"r{i} AS (SELECT filing_id, t, a, substring(t, a + 1001) AS rest FROM a{i} WHERE a IS NOT NULL)")
+        parts.append(cut(f"n{i}", f"r{i}", "rest", bare(sections.NEXT), "g"))
+        parts.append(f"e{i} AS (SELECT filing_id, min(pos) FILTER (WHERE length({_TRIM('substring(rest, pos + 1, 500)')}) > 200) AS stop FROM n{i} GROUP BY filing_id)")
+        found.append(f"SELECT r{i}.filing_id, '{section}' AS section, a, coalesce(a + 1000 + stop, least(length(t), a + 50000)) AS b, t FROM r{i} LEFT JOIN e{i} USING (filing_id)")
+    return ", ".join(parts) + ", out AS (" + " UNION ALL ".join(found) + ")"
+
+
+@query(f"WITH src AS (SELECT filing_id, replace(any_value(full_document), chr(1), ' ') AS t FROM filings WHERE full_document IS NOT NULL GROUP BY filing_id), {_extract_sql()}, cl AS (SELECT filing_id, section, a, b, substring(t, a + 1, b - a) AS full_document FROM out) SELECT filing_id, section, a::INT AS a, b::INT AS b, section_text FROM (SELECT *, {_CLEAN} AS section_text FROM cl) WHERE section_text <> ''")
+def section_extract(s: SparkSession, d: str) -> DataFrame:
+    """The three sections of every filing, found by their headings."""
+    return sections.extract(_filing_texts(s, d), ["filing_id"], "full_document", sections.WIDER_HEADINGS)
 
 
 @query(f"SELECT DISTINCT filing_id, length(c) AS chars, sha256(c) AS digest FROM (SELECT filing_id, {_CLEAN} AS c FROM filings WHERE full_document IS NOT NULL)")
@@ -172,13 +222,19 @@ def section_clean(s: SparkSession, d: str) -> DataFrame:
 _RISKS = ["debt", "litigation", "climate"]
 
 
-@query()
+_HIT = " OR ".join(f"contains(lower(x), '{r}')" for r in _RISKS)
+
+
+@query(f"""WITH {_SEC}, st AS (SELECT section_id, string_split(regexp_replace(t, '([.!?])[\\s\\x0b]+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM sec),
+hit AS (SELECT section_id, i, substring({_TRIM('x')}, 1, 400) AS sentence FROM (SELECT section_id, unnest(range(len(p))) AS i, unnest(p) AS x FROM st) WHERE {_HIT}),
+firsts AS (SELECT section_id, sentence, min(i) AS i FROM hit GROUP BY ALL)
+SELECT section_id, (row_number() OVER (PARTITION BY section_id ORDER BY i) - 1)::INT AS n, sentence FROM firsts QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY i) <= 3""")
 def context_sentences(s: SparkSession, d: str) -> DataFrame:
     """The first three sentences of each section that mention debt, litigation or climate."""
     return _sections(s, d, T.context_sentences(_text(), _RISKS).alias("contexts")).where(F.size("contexts") > 0).select("section_id", F.posexplode("contexts").alias("n", "sentence"))
 
 
-@query(f"""SELECT doc_id, (i // 460)::INT AS window_no, len(list_slice(w, i + 1, i + 510)) AS n_tokens, w[i + 1] AS first_token, w[least(len(w), i + 510)] AS last_token
+@query(f"""SELECT doc_id, (i // 460)::INT AS window_no, len(list_slice(w, i + 1, i + 510)) AS n_tokens, array_to_string(list_slice(w, i + 1, i + 510), ' ') AS window_text
   FROM (SELECT doc_id, w, unnest(range(0, least(len(w), 50 * 460), 460)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^{_SPACE}]+') AS w FROM documents WHERE text IS NOT NULL))""")
 def token_windows(s: SparkSession, d: str) -> DataFrame:
     """Classifier windows of 510 words every 460, at most 50 of a text."""
@@ -236,30 +292,6 @@ def kw_delta(s: SparkSession, d: str) -> DataFrame:
     return r6(keywords.delta_score(keywords.deltas(_dated(s, d), "ticker", "filing_date"), ["ticker", "filing_date"]))
 
 
-_FINBERT = "f1 AS (SELECT filing_id, overall AS finbert, CASE WHEN words >= 200 THEN item_7 END AS keywords FROM fs)"
-
-
-def _blended(s: SparkSession, d: str) -> DataFrame:
-    f = _filings(s, d).select("filing_id", F.col("overall").alias("finbert"), F.when(F.col("words") >= 200, F.col("item_7")).alias("keywords"))
-    return scores.blend(f, {"finbert": 0.6, "keywords": 0.4})
-
-
-_ENSEMBLE = f"""WITH {_FS}, {_FINBERT}, e AS (SELECT filing_id, finbert, keywords, CASE WHEN keywords IS NULL THEN finbert ELSE 0.6 * finbert END AS finbert_part, 0.4 * keywords AS keywords_part,
-  (keywords IS NULL OR (finbert > 0 AND keywords > 0) OR (finbert < 0 AND keywords < 0) OR (finbert = 0 AND keywords = 0)) AS components_agree FROM f1), z AS (SELECT *, finbert_part + coalesce(keywords_part, 0) AS score FROM e)"""
-
-
-@query(_ENSEMBLE + f" SELECT filing_id, round(finbert, 6) AS finbert, round(keywords, 6) AS keywords, round(finbert_part, 6) AS finbert_part, round(keywords_part, 6) AS keywords_part, round(score, 6) AS score, components_agree, {_SIGNAL('score')} AS signal FROM z")
-def ensemble(s: SparkSession, d: str) -> DataFrame:
-    """Two component scores blended, weights shared out anew where one is missing."""
-    return r6(_blended(s, d).withColumn("signal", scores.signal(F.col("score"))))
-
-
-@query(_ENSEMBLE + " SELECT filing_id, 'finbert' AS component, round(finbert_part, 6) AS part FROM z UNION ALL SELECT filing_id, 'keywords', round(keywords_part, 6) FROM z")
-def contributions(s: SparkSession, d: str) -> DataFrame:
-    """What each component adds to the blend."""
-    return r6(_blended(s, d).select("filing_id", F.expr("stack(2, 'finbert', finbert_part, 'keywords', keywords_part) as (component, part)")))
-
-
 # ---- history ---------------------------------------------------------------------------------------------------
 
 _KEYED = "ticker IS NOT NULL AND ticker <> 'UNKNOWN' AND filing_date IS NOT NULL"
@@ -301,15 +333,6 @@ def anomaly_summary(s: SparkSession, d: str) -> DataFrame:
     return _anomalies(s, d).groupBy("ticker").agg(n("high"), n("medium"), n("low"), F.count("*").alias("total"))
 
 
-@query(_ANOM + " SELECT ticker, filing_date, grp, severity, row_number() OVER (PARTITION BY ticker ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, filing_date, grp) AS pos FROM b")
-def anomaly_order(s: SparkSession, d: str) -> DataFrame:
-    """Anomalies of each ticker, the severe ones first."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("ticker").orderBy(history.severity_rank(F.col("severity")), "filing_date", "grp")
-    return _anomalies(s, d).select("ticker", "filing_date", "grp", "severity", F.row_number().over(w).alias("pos"))
-
-
 @query("SELECT DISTINCT context_id, substring(sha256(concat_ws(':', coalesce(filing_id::VARCHAR, ''), coalesce(current_filing_date::VARCHAR, ''), coalesce(anomaly_type, ''), coalesce(keyword, ''))), 1, 32) AS anomaly_hash FROM anomaly_contexts")
 def anomaly_hash(s: SparkSession, d: str) -> DataFrame:
     """Merge key of each anomaly."""
@@ -339,10 +362,11 @@ def trend(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_FZ}, l AS (SELECT ticker, filing_date, filing_id, overall, overall - lag(overall) OVER (PARTITION BY ticker ORDER BY filing_date, filing_id) AS dd FROM fz)
 SELECT ticker, round(avg(overall), 6) AS mean, round(min(overall), 6) AS least, round(max(overall), 6) AS greatest, round(max(overall) - min(overall), 6) AS range,
-  round(max(dd) FILTER (WHERE dd > 0), 6) AS rise, round(min(dd) FILTER (WHERE dd < 0), 6) AS fall FROM l GROUP BY ticker""")
+  round(max(dd) FILTER (WHERE dd > 0), 6) AS rise, round(min(dd) FILTER (WHERE dd < 0), 6) AS fall,
+  first(filing_date ORDER BY dd DESC, filing_date) FILTER (WHERE dd > 0) AS rise_date, first(filing_date ORDER BY dd, filing_date) FILTER (WHERE dd < 0) AS fall_date FROM l GROUP BY ticker""")
 def summary_extrema(s: SparkSession, d: str) -> DataFrame:
-    """Mean, extremes and greatest moves of each ticker's score."""
-    return r6(history.extremes(_known(_filings(s, d)), "ticker", "filing_date", "filing_id").drop("rise_date", "fall_date"))
+    """Mean, extremes and greatest moves of each ticker's score, with their dates."""
+    return r6(history.extremes(_known(_filings(s, d)), "ticker", "filing_date", "filing_id"))
 
 
 @query(f"""WITH {_SEC}, w AS (SELECT ticker, section, filing_date, section_id, {_WORDS('t')} AS words FROM sec WHERE {_KEYED}),
@@ -354,11 +378,11 @@ def deep_dive(s: SparkSession, d: str) -> DataFrame:
     return r6(history.word_change(rows, ["ticker", "section"], "filing_date", "section_id"))
 
 
-@query(f"WITH {_FZ} SELECT ticker, filing_id, filing_date, round(overall, 6) AS overall, signal FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY (year(filing_date) = 2015) DESC, filing_date DESC, filing_id DESC) AS n FROM fz) WHERE n = 1")
-def ticker_compare(s: SparkSession, d: str) -> DataFrame:
-    """Each ticker's last filing of 2015, or its newest if it has none."""
+@query(f"WITH {_FZ} SELECT ticker, filing_id, filing_date, round(overall, 6) AS overall, signal FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY (year(filing_date) = {EXAMPLE_YEAR}) DESC, filing_date DESC, filing_id DESC) AS n FROM fz) WHERE n = 1")
+def ticker_compare(s: SparkSession, d: str, year: int = EXAMPLE_YEAR) -> DataFrame:
+    """Each ticker's last filing of a year, or its newest if it has none."""
     f = _known(_filings(s, d)).select("ticker", "filing_id", "filing_date", "overall", "signal")
-    return r6(history.of_year_or_latest(f, "ticker", "filing_date", 2015, "filing_id"))
+    return r6(history.of_year_or_latest(f, "ticker", "filing_date", year, "filing_id"))
 
 
 @query(f"WITH {_FZ} SELECT ticker, year(filing_date)::INT AS year, max(filing_date) AS filing_date, count(*) AS filings FROM fz GROUP BY ALL")
@@ -370,7 +394,7 @@ def latest_by_year(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_FZ} SELECT ticker, filing_id, filing_date, n AS nth, c AS of FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY filing_date DESC, filing_id DESC) AS n, count(*) OVER (PARTITION BY ticker) AS c FROM fz) WHERE n <= 2")
 def latest_pair(s: SparkSession, d: str) -> DataFrame:
     """The newest filing of each ticker and the one before."""
-    return history.ranked(_known(_filings(s, d)).select("ticker", "filing_id", "filing_date"), "ticker", "filing_date", "filing_id").where("nth <= 2")
+    return history.newest(_known(_filings(s, d)).select("ticker", "filing_id", "filing_date"), "ticker", "filing_date", "filing_id", k=2)
 
 
 # ---- companies and stages ---------------------------------------------------------------------------------------
@@ -405,7 +429,7 @@ def annual_list(s: SparkSession, d: str) -> DataFrame:
     """The three newest annual reports of each ticker, amendments left out."""
     f = table(s, d, "filings", "filing_id", "ticker", "filing_date", "form").where("form = '10-K' and ticker is not null")
     f = f.select(F.upper(F.trim("ticker")).alias("ticker"), "filing_id", "filing_date").distinct()
-    return history.ranked(f, "ticker", "filing_date", "filing_id").where("nth <= 3").select("ticker", "filing_id", "filing_date", F.col("nth").alias("n"))
+    return history.newest(f, "ticker", "filing_date", "filing_id", k=3).select("ticker", "filing_id", "filing_date", F.col("nth").alias("n"))
 
 
 @query("SELECT upper(trim(ticker)) AS ticker, count(DISTINCT filing_id) FILTER (WHERE form = '10-K') AS annual, max(filing_date) FILTER (WHERE form = '10-K') AS latest FROM filings WHERE ticker IS NOT NULL GROUP BY 1")
@@ -458,9 +482,13 @@ def availability(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT record_id, stage, file_name, loaded_at FROM (SELECT DISTINCT record_id, stage, file_name, loaded_at, run_id FROM raw_records) QUALIFY row_number() OVER (PARTITION BY run_id, stage, file_name ORDER BY loaded_at DESC, record_id DESC) = 1")
 def upsert_latest(s: SparkSession, d: str) -> DataFrame:
-    """The newest load of every file."""
+    """The newest load of every file: what was loaded later is merged into a table of what was loaded first."""
     r = table(s, d, "raw_records", "run_id", "stage", "file_name", "record_id", "loaded_at")
-    return status.upsert(r.limit(0), r, ["run_id", "stage", "file_name"], ["loaded_at", "record_id"]).select("record_id", "stage", "file_name", "loaded_at")
+    middle = r.agg((F.min("loaded_at") + (F.max("loaded_at") - F.min("loaded_at")) / 2).alias("_mid"))
+    parts = r.crossJoin(F.broadcast(middle))
+    stored = status.upsert(parts.where("loaded_at <= _mid").drop("_mid"), r.limit(0), ["run_id", "stage", "file_name"], ["loaded_at", "record_id"])
+    late = parts.where("loaded_at > _mid or loaded_at is null").drop("_mid")
+    return status.upsert(stored, late, ["run_id", "stage", "file_name"], ["loaded_at", "record_id"]).select("record_id", "stage", "file_name", "loaded_at")
 
 
 @query("SELECT ticker, company_name FROM companies WHERE contains(lower(company_name), 'ost') OR contains(lower(ticker), 'ost') ORDER BY lower(ticker) <> 'ost', length(company_name), ticker LIMIT 10")
@@ -539,12 +567,6 @@ def run_summary(s: SparkSession, d: str) -> DataFrame:
     return r6(metrics.summary(_backtest(s, d)))
 
 
-@query(f"WITH {_SM} SELECT window_days, {_SUMMARY} FROM sm GROUP BY window_days")
-def compare_models(s: SparkSession, d: str) -> DataFrame:
-    """The same by window."""
-    return r6(metrics.summary(_backtest(s, d), ["window_days"]))
-
-
 @query(f"WITH {_SM} SELECT signal, count(*) FILTER (WHERE s = m) AS correct, count(*) AS total, round(count(*) FILTER (WHERE s = m) / count(*)::DOUBLE, 6) AS precision FROM sm WHERE m IS NOT NULL GROUP BY signal")
 def precision_by_signal(s: SparkSession, d: str) -> DataFrame:
     """Share of right signals of each kind."""
@@ -635,13 +657,6 @@ def keyword_search(s: SparkSession, d: str) -> DataFrame:
     return r6(_keyword(s, d))
 
 
-@query(f"WITH {_ASK} SELECT q_key, doc_id, 'keyword' AS via FROM kt WHERE NOT EXISTS (SELECT 1 FROM kt k WHERE k.q_key = kt.q_key AND k.share >= 0.9) UNION ALL SELECT q_key, doc_id, 'strong' FROM kt WHERE share >= 0.9")
-def retrieve_fallback(s: SparkSession, d: str) -> DataFrame:
-    """Strong hits, and for the questions without any the weaker ones."""
-    k = _keyword(s, d)
-    return retrieval.fallback(k.where("share >= 0.9").select("q_key", "doc_id", F.lit("strong").alias("via")), k.select("q_key", "doc_id", F.lit("keyword").alias("via")), "q_key")
-
-
 def _expanded(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "eval_items", "item_id", "question", "task").where("question is not null")
 
@@ -658,25 +673,6 @@ def query_expand(s: SparkSession, d: str) -> DataFrame:
     return _expanded(s, d).select("item_id", F.posexplode(retrieval.expansions(F.col("question"))).alias("n", "variation"))
 
 
-_TURNS = "turns AS (SELECT item_id // 8 AS conv_id, item_id AS turn, question FROM eval_items WHERE question IS NOT NULL)"
-
-
-def _turns(s: SparkSession, d: str) -> DataFrame:
-    return _expanded(s, d).select(F.floor(F.col("item_id") / 8).cast("long").alias("conv_id"), F.col("item_id").alias("turn"), "question")
-
-
-@query(f"WITH {_TURNS}, b AS (SELECT *, lag(question) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM turns) SELECT conv_id, turn, before, CASE WHEN regexp_matches(trim(lower(question)), '^({'|'.join(FOLLOW_UPS)})') AND before IS NOT NULL THEN before || ' ' || question ELSE question END AS expanded FROM b")
-def follow_up_expand(s: SparkSession, d: str) -> DataFrame:
-    """Questions in conversations of eight, follow-ups with the question before."""
-    return retrieval.with_history(_turns(s, d), "conv_id", "turn", "question").drop("question")
-
-
-@query(f"WITH {_TURNS}, k AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) SELECT conv_id, string_agg(substring(question, 1, 200), E'\\n' ORDER BY turn) AS history, count(*) AS turns FROM k GROUP BY conv_id")
-def history_window(s: SparkSession, d: str) -> DataFrame:
-    """The last five turns of each conversation in one text."""
-    return retrieval.history_window(_turns(s, d), "conv_id", "turn", "question", 5)
-
-
 @query(f"WITH {_ASK} SELECT q_key, string_agg('[' || coalesce(source, '') || ' ' || doc_id || ']' || E'\\n' || substring(text, 1, 600), E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM kt JOIN documents USING (doc_id) GROUP BY q_key")
 def answer_context(s: SparkSession, d: str) -> DataFrame:
     """The context that a question's best documents make."""
@@ -685,23 +681,9 @@ def answer_context(s: SparkSession, d: str) -> DataFrame:
     return retrieval.answer_context(_keyword(s, d).join(docs, "doc_id"), "q_key", "rank", head, "text")
 
 
-@query(f"WITH {_ASK}, v AS (SELECT q_key, doc_id, share FROM kt UNION ALL SELECT q_key, doc_id, share / 2 FROM kt), m AS (SELECT q_key, doc_id, max(share) AS share FROM v GROUP BY ALL) SELECT q_key, doc_id, round(share, 6) AS share, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY share DESC, doc_id) AS rank FROM m) WHERE rank <= 3")
-def fusion(s: SparkSession, d: str) -> DataFrame:
-    """Two rankings of the same questions fused by the best score."""
-    k = _keyword(s, d).drop("rank")
-    return r6(retrieval.fuse(k.unionByName(k.withColumn("share", F.col("share") / 2)), "q_key", ["doc_id"], "share", 3))
-
-
 # ---- joined views and reads -----------------------------------------------------------------------------------------
 
 
-@query(_ENSEMBLE + f", two AS (SELECT fs.filing_id, fs.signal, {_SIGNAL('z.score')} AS blended FROM fs LEFT JOIN z ON z.filing_id = fs.filing_id AND z.keywords IS NOT NULL) SELECT filing_id, signal, blended, signal IS DISTINCT FROM blended AS differs FROM two")
-def signal_vs_blend(s: SparkSession, d: str) -> DataFrame:
-    """The signal of every filing beside the blended one, where both components are there."""
-    e = _blended(s, d).where("keywords is not null").select("filing_id", scores.signal(F.col("score")).alias("blended"))
-    return _filings(s, d).select("filing_id", "signal").join(e, "filing_id", "left").withColumn("differs", ~F.col("signal").eqNullSafe(F.col("blended")))
-
-
 @query(f"WITH {_SC}, f AS (SELECT DISTINCT filing_id FROM filings), n(section) AS (VALUES ('item_1a'), ('item_7'), ('item_8')), s AS (SELECT filing_id, section, avg(score) AS score FROM sc GROUP BY ALL) SELECT f.filing_id, n.section, round(coalesce(score, 0), 6) AS compound, CASE WHEN score IS NULL THEN 'N/A' ELSE {_SIGNAL('score')} END AS signal FROM f CROSS JOIN n LEFT JOIN s ON s.filing_id = f.filing_id AND s.section = n.section")
 def default_sections(s: SparkSession, d: str) -> DataFrame:
     """All three sections of every filing, those that are missing with a score of 0 and no signal."""
@@ -711,10 +693,10 @@ def default_sections(s: SparkSession, d: str) -> DataFrame:
     return r6(out.select("filing_id", "section", F.coalesce("score", F.lit(0.0)).alias("compound"), F.coalesce(scores.signal(F.col("score")), F.lit("N/A")).alias("signal")))
 
 
-@query(f"WITH {_FS} SELECT filing_id, filing_date, signal FROM fs WHERE ticker = 'YRSTZ' AND filing_date IS NOT NULL ORDER BY filing_date DESC, filing_id DESC LIMIT 50")
-def recent_rows(s: SparkSession, d: str) -> DataFrame:
-    """The 50 newest results of one ticker."""
-    return _filings(s, d).where("ticker = 'YRSTZ' and filing_date is not null").select("filing_id", "filing_date", "signal").orderBy(F.desc("filing_date"), F.desc("filing_id")).limit(50)
+@query(f"WITH {_FS} SELECT filing_id, filing_date, signal FROM fs WHERE ticker = '{EXAMPLE_TICKER}' AND filing_date IS NOT NULL ORDER BY filing_date DESC, filing_id DESC LIMIT 50")
+def recent_rows(s: SparkSession, d: str, ticker: str = EXAMPLE_TICKER, most: int = 50) -> DataFrame:
+    """The newest results of one ticker."""
+    return _filings(s, d).where((F.col("ticker") == ticker) & F.col("filing_date").isNotNull()).select("filing_id", "filing_date", "signal").orderBy(F.desc("filing_date"), F.desc("filing_id")).limit(most)
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND text <> '') AS with_text, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT label) FROM embeddings) AS labels")
@@ -724,23 +706,6 @@ def index_stats(s: SparkSession, d: str) -> DataFrame:
     return docs.crossJoin(table(s, d, "embeddings", "label").agg(F.count("*").alias("vectors"), F.countDistinct("label").alias("labels")))
 
 
-@query(f"WITH {_SM}, g AS (SELECT window_days, count(*) FILTER (WHERE s = m AND s <> 0) / nullif(count(*) FILTER (WHERE s <> 0 AND m <> 0), 0)::DOUBLE AS a FROM sm GROUP BY 1), w AS (SELECT max(a) FILTER (WHERE window_days = 1) AS a, max(a) FILTER (WHERE window_days = 7) AS b FROM g) SELECT CASE WHEN a > b THEN 'one day' WHEN b > a THEN 'seven days' ELSE 'Tie' END AS winner FROM w")
-def winner(s: SparkSession, d: str) -> DataFrame:
-    """Which of two windows the signals suit better."""
-    m = metrics.summary(_backtest(s, d), ["window_days"])
-    of = lambda n: F.max(F.when(F.col("window_days") == n, F.col("directional_accuracy")))
-    return m.agg(of(1).alias("a"), of(7).alias("b")).select(metrics.better_of(F.col("a"), F.col("b"), "one day", "seven days").alias("winner"))
-
-
-@query(f"WITH {_TG}, top AS (SELECT * FROM gg WHERE accuracy > 0 ORDER BY hits / total DESC, cell LIMIT 1), used AS (SELECT hits / total AS now FROM gg WHERE cell = 35) SELECT top.cell, top.accuracy, top.hits / top.total - now > 0.01 AS adopt FROM top, used")
-def recommend_thresholds(s: SparkSession, d: str) -> DataFrame:
-    """Whether the best thresholds are worth adopting over those in use (cell 35: sell below -.20, buy from .20)."""
-    grid = metrics.threshold_grid(_backtest(s, d))
-    now = grid.where("cell = 35").select(F.col("accuracy").alias("now"))
-    best = metrics.first_best(grid).crossJoin(now)
-    return r6(best.select("cell", "accuracy", (F.col("accuracy") - F.col("now") > 0.01).alias("adopt")))
-
-
 @query("SELECT DISTINCT filing_date FROM filings WHERE filing_date IS NOT NULL UNION SELECT filing_date FROM raw_records WHERE filing_date IS NOT NULL")
 def status_union(s: SparkSession, d: str) -> DataFrame:
     """All days on which anything was filed or recorded."""

@@ -24,3 +24,8 @@ def test_flagship(spark):
     if os.path.isdir(entry.FLAGSHIP_DIR):
         df = entry.entry(spark)
         assert df.columns == ["section", "signal", "n"] and df.count() > 0
+
+
+def test_only_the_absence_of_the_text_operators_is_forgiven():
+    source = open(f"{ROOT}/__spark_entry__.py").read()
+    assert "ModuleNotFoundError" in source and "except ImportError" not in source

@@ -30,3 +30,20 @@ def test_replies(spark):
     assert got[1] == got[2] is not None and got[3] is None and got[4] is None
     scored = {r.id: r.outlook.score for r in models.outlook_scores(df.withColumn("u", df.t), "t", "u", client).where("id <> 2").collect()}
     assert scored == {1: 0.24, 3: 0.0, 4: 0.24}
+
+
+def test_softmax_and_provider():
+    p = models.softmax([1000.0, 1000.0, 0.0])
+    assert p[:2] == [0.5, 0.5] and p[2] == 0.0 and models.softmax([]) == []
+    one, two = (lambda: str), (lambda: repr)
+    assert models.provider("auto", {"a": None, "b": one, "c": two}) == ("b", one) and models.provider("C", {"b": one, "c": two}) == ("c", two)
+    assert models.provider("x", {"b": one}) is None and models.provider("auto", {}) is None
+
+
+def test_anomaly_notes(spark):
+    df = spark.createDataFrame([(1, "AB", "spike", "Debt", "up", ["one", "two"]), (2, None, None, "broken", None, None)], "id int, ticker string, type string, title string, description string, contexts array<string>")
+    client = lambda: lambda prompt: 1 / 0 if "broken" in prompt else " " + prompt
+    args = ("ticker", "type", "title", "description", "contexts")
+    got = {r.id: r.explanation for r in models.anomaly_notes(df, *args, client).collect()}
+    assert "one; two" in got[1] and "AB" in got[1] and got[2] == "LLM analysis unavailable."
+    assert {r.explanation for r in models.anomaly_notes(df, *args, None).collect()} == {None}

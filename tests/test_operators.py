@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import text as T
 from filingloom.functions.dictionary import INDUSTRIAL, tracked
-from filingloom.operators import asof, chunks, history, keywords, metrics, retrieval, scores, sections, status
+from filingloom.operators import asof, chunks, history, keywords, metrics, pipeline, reports, retrieval, scores, sections, status
 
 
 def one(spark, column, value=None):
@@ -86,6 +86,8 @@ def test_sections_against_a_loop(spark):
     for i, t in rows:
         for s, p in patterns.items():
             assert got.get((i, s)) == loop_bounds(t, p), (i, s)
+    wide = spark.createDataFrame([(1, "Item 7. Management Discussion of Results\n" + "words " * 300)], "id int, t string")
+    assert sections.extract(wide, ["id"], "t").count() == 0 and sections.extract(wide, ["id"], "t", sections.WIDER_HEADINGS).count() == 1
 
 
 def test_signals_and_replies(spark):
@@ -145,11 +147,12 @@ def test_asof_against_a_loop(spark):
     targets = [(i, rng.choice(["a", "b", "c", "none", None]), base + dt.timedelta(rng.randrange(-30, 560)) if i % 9 else None) for i in range(300)]
     s = spark.createDataFrame([(e, d, v) for (e, d), v in series.items()], "ticker string, d date, close double")
     t = spark.createDataFrame(targets, "id int, ticker string, at date")
-    got = {r.id: (r.fd, r.fv) for r in asof.forward_asof(t, s, "ticker", "at", "d", "close", "fd", "fv").collect()}
-    assert len(got) == 300
-    for i, e, at in targets:
-        later = sorted((d, v) for (x, d), v in series.items() if x == e and at is not None and d >= at)
-        assert got[i] == (later[0] if later else (None, None)), (i, e, at)
+    for one_task in (1_000_000, 5):  # sorted in one task, and by months
+        got = {r.id: (r.fd, r.fv) for r in asof.forward_asof(t, s, "ticker", "at", "d", "close", "fd", "fv", one_task=one_task).collect()}
+        assert len(got) == 300
+        for i, e, at in targets:
+            later = sorted((d, v) for (x, d), v in series.items() if x == e and at is not None and d >= at)
+            assert got[i] == (later[0] if later else (None, None)), (i, e, at)
 
 
 BACKTEST = [("STRONG_BUY", 0.6, 15.2, "up"), ("BUY", 0.3, 8.1, "up"), ("BUY", 0.25, -5.3, "down"), ("HOLD", 0.05, 1.2, "flat"), ("SELL", -0.3, -12.0, "down"), ("STRONG_SELL", -0.55, 22.0, "up"), ("HOLD", 0.0, 3.5, "up")]
@@ -212,3 +215,121 @@ def test_keyword_dispatch_by_history(spark):
     got = {(r.ticker, r.filing_date.year): (r.mode, r.score) for r in keywords.dispatched_score(df, ["ticker", "filing_date"], words).collect()}
     assert got["A", 2020] == ("absolute", 0.0) and got["A", 2021] == ("absolute", 0.25)
     assert got["B", 2020] == ("delta", -0.6) and len(got) == 5
+
+
+def test_threshold_grid_against_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(round(rng.uniform(-0.6, 0.6), 2), rng.choice(["up", "down", "flat", "unknown"])) for _ in range(400)] + [(None, "up")]
+    df = spark.createDataFrame([("HOLD", x, None, d) for x, d in rows], "signal string, score double, ret double, direction string")
+    for r in metrics.threshold_grid(df).collect():
+        sides = [(1 if x >= r.buy else -1, d) for x, d in rows if x is not None and d in ("up", "down") and (x >= r.buy or x < r.sell)]
+        assert (r.hits, r.total) == (sum((s == 1) == (d == "up") for s, d in sides), len(sides))
+
+
+def test_recommendations(spark):
+    rows = [("HOLD" if i % 2 else "BUY", 0.3, 1.0, "up") for i in range(6)]
+    df = spark.createDataFrame(rows, "signal string, score double, ret double, direction string")
+    r = metrics.recommend(metrics.threshold_grid(df), "t", metrics.original_accuracy(df)).first()
+    assert (r.data_points, r.accuracy, r.original, r.adopt) == (6, 1.0, 1.0, False)
+    few = df.limit(4)
+    r = metrics.recommend(metrics.threshold_grid(few), "t", metrics.original_accuracy(few)).first()
+    assert (r.data_points, r.best_cell, r.improvement, r.adopt) == (4, None, None, False)
+
+
+def test_positions_and_newest(spark):
+    rows = [("T", dt.date(2020, 1 + i % 12, 1 + i // 12), i) for i in range(60)] + [("U", dt.date(2020, 1, 1), 99), (None, dt.date(2020, 1, 1), 98)]
+    df = spark.createDataFrame(rows, "ticker string, d date, id int")
+    at = {r.id: (r["at"], r.of) for r in history.positions(df, "ticker", "d", "id").collect()}
+    order = sorted((d, i) for t, d, i in rows if t == "T")
+    assert all(at[i] == (n, 60) for n, (_, i) in enumerate(order)) and at[99] == (0, 1) and 98 not in at
+    got = {(r.ticker, r.nth): (r.id, r.of) for r in history.newest(df, "ticker", "d", "id", k=2).collect() if r.ticker}
+    assert got == {("T", 1): (order[-1][1], 60), ("T", 2): (order[-2][1], 60), ("U", 1): (99, 1)}
+
+
+def test_fallback_by_entity(spark):
+    e = spark.createDataFrame([("A", 1)], "ticker string, x int")
+    f = spark.createDataFrame([("A", 2), ("B", 3)], "ticker string, x int")
+    assert {(r.ticker, r.x) for r in metrics.with_fallback(e, f, "ticker").collect()} == {("A", 1), ("B", 3)}
+
+
+@pytest.mark.parametrize("rows", [1000, 2])
+def test_searches_in_blocks(spark, rows):
+    rng = random.Random(6)
+    v = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(40)], "id int, v array<double>, g int")
+    q = v.where("id % 4 = 0")
+    plain = lambda **k: {(r.q_key, r.id, r["rank"]) for r in retrieval.cosine_topk(q, v, "id", "v", 3, **k).collect()}
+    want = set()
+    data = [(r.id, r.v) for r in v.collect()]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for i, a in data:
+        if i % 4 == 0:
+            best = sorted(((-cos(a, b), j) for j, b in data if j != i and cos(a, b) > 0))[:3]
+            want |= {(i, j, n) for n, (_, j) in enumerate(best, 1)}
+    assert plain(rows=rows) == want
+    d = spark.createDataFrame([(i, f"w{i % 5} w{i % 7}") for i in range(30)], "id int, t string")
+    ask = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(6)], "q int, t string")
+    found = retrieval.keyword_topk(ask, d, "q", "t", "id", "t", 2, rows=rows).collect()
+    assert len(found) == 12 and all(r.share > 0 for r in found)
+
+
+def test_answers(spark):
+    ask = spark.createDataFrame([(1, "debt"), (2, "nothing"), (3, "broken")], "q int, question string")
+    hits = spark.createDataFrame([(q, n, f"T 2024 s{n}", "text " * 200, 1.0 / n) for q in (1, 3) for n in (1, 2, 3, 4)], "q int, rank int, head string, text string, share double")
+    run = lambda f: {r.q: r for r in retrieval.answers(ask, hits, "q", "question", F.col("head"), "text", "share", f).collect()}
+    plain = run(None)
+    assert (plain[2].answer, plain[2].method, plain[2].sources) == (retrieval.NOTHING, "nothing", [])
+    assert plain[1].method == "excerpts" and plain[1].answer.count("**T 2024") == 3 and [s.score for s in plain[1].sources] == [1.0, 0.5, 0.3333, 0.25]
+    told = run(lambda: lambda prompt: 1 / 0 if "broken" in prompt else prompt)
+    assert told[1].method == "model" and told[1].answer.count("[T 2024") == 4 and told[3].method == "excerpts" and told[2].method == "nothing"
+    turns = spark.createDataFrame([(1, 1, "user", "sales?"), (1, 2, "assistant", "Up."), (1, 3, "user", "and why"), (2, 1, "assistant", "Hello")], "c int, n int, role string, t string")
+    grown = {(r.c, r.n): r.expanded for r in retrieval.with_history(turns, "c", "n", "t", "role").collect()}
+    assert grown[1, 3] == "sales? and why" and {r.c: r.history for r in retrieval.history_window(turns, "c", "n", "t", 2, role="role").collect()} == {1: "Assistant: Up.\nUser: and why", 2: "Assistant: Hello"}
+
+
+def test_signals_of_keywords(spark):
+    rows = [("T", dt.date(2024, 1, 1), f"g{i}", "bear" if i % 2 else "bull", d) for i, d in enumerate([0.6, -0.9, 3.0, 0.1, -0.2, 5.0, None, -0.35])]
+    got = keywords.delta_signals(spark.createDataFrame(rows, "ticker string, d date, grp string, polarity string, delta double"), ["ticker", "d"], 4).orderBy("rank").collect()
+    assert [(r.grp, r.type) for r in got] == [("g5", "risk_increase"), ("g2", "opportunity_increase"), ("g1", "risk_decrease"), ("g0", "opportunity_increase")]
+
+
+def test_pipeline_status(spark):
+    d = dt.date(2024, 1, 1)
+    key = lambda *rows: spark.createDataFrame([(t, d) for t in rows], "t string, d date")
+    f = spark.createDataFrame([("a", d, "x"), ("b", d, "x"), ("c", d, None), ("e", d, "x")], "t string, d date, text string")
+    got = {r.t: r for r in pipeline.filing_status(f, "text", key("a", "b", "c"), key("a", "b", "c"), key("a"), ["t", "d"]).collect()}
+    assert got["a"].message == "Completed: parse, sections, sentiment, ensemble" and got["b"].success and got["b"].message == "Completed: parse, sections, sentiment"
+    assert got["c"].message == "Pipeline failed at parsing" and not got["c"].success and got["e"].message == "Completed: parse"
+    (c,) = pipeline.company_status(spark.createDataFrame([(1, True), (1, False)], "t int, success boolean"), "t").collect()
+    assert (c.processed, c.failed, c.total, c.success, c.message) == (1, 1, 2, True, "Processed 1/2 filings")
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([(*r, i, "a" if i % 2 else "b") for i, r in enumerate(BACKTEST)], "signal string, score double, ret double, direction string, id int, mode string")
+    text = reports.backtest_report(df, "id", "BACKTEST", {"Tickers": "AB"})
+    assert "Directional accuracy:   60.0%" in text and "STRONG_BUY" in text and "WORST MISSES" in text and "  5: signal STRONG_SELL" in text
+    assert "WORST MISSES" not in reports.backtest_report(df.where("direction = 'flat'"), "id", "BACKTEST", {})
+    assert "Winner: b" in reports.comparison_report(df, "mode", "MODELS") and "N/A" in reports.comparison_report(df.limit(1), "mode", "MODELS")
+
+
+def test_display_and_numbers(spark):
+    df = spark.createDataFrame([(1, "supply_chain", "", "high", ["x" * 401, None, "b", "c", "d"]), (2, None, "new_keyword", None, None)], "id int, keyword string, type string, severity string, contexts array<string>")
+    a, b = history.shown(df).orderBy("id").collect()
+    assert (a.title, a.category, a.severity_reason, a.contexts) == ("Supply Chain", "General", "Severity: high", ["x" * 400 + "...", "b", "c"])
+    assert (b.title, b.category, b.severity, b.contexts) == ("Anomaly Detected", "New Keyword", "medium", [])
+    n = spark.createDataFrame([(0.1234, "000320"), (None, "000")], "x double, t string").select(T.signed(F.col("x")).alias("a"), T.per_cent(F.col("x")).alias("b"), T.without_zeros(F.col("t")).alias("c"), T.stamp(F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("d")).collect()
+    assert [tuple(r) for r in n] == [("+0.123", "12.3%", "320", "20240102_030405"), ("N/A", "N/A", "0", "20240102_030405")]
+
+
+def test_settings_and_shell(spark, tmp_path, capsys):
+    from filingloom import __main__ as shell
+    from filingloom.settings import Settings
+
+    assert Settings(checkpoint_dir="/x").problems() == [] and len(Settings(section_weights={"a": 0.5}, chunk_overlap=900).problems()) == 3
+    assert shell.main(["list"]) == 0 and "signal_hist" in capsys.readouterr().out
+    assert shell.main(["run", "nope", "/x"], spark) == 2
+
+
+def test_lookup_prefers_details(spark):
+    f = spark.createDataFrame([(1, " ab "), (2, "CD"), (3, "XX"), (4, None)], "id int, ticker string")
+    details, cached = spark.createDataFrame([("AB", "Able")], "ticker string, company_name string"), spark.createDataFrame([("AB", "able"), ("cd", "Cold")], "ticker string, company_name string")
+    assert {r.id: r.company_name for r in retrieval.company_lookup(f, "ticker", details, cached).collect()} == {1: "Able", 2: "Cold", 3: None, 4: None}

@@ -38,6 +38,7 @@ def test_pages(spark):
     pages = files.parse_pages(spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "id int, html string"), "id", "html")
     by = {r.id: r for r in pages.collect()}
     assert by[1].text.split("\n")[:2] == ["## Item 7", "Net & gross"] and "x()" not in by[1].text
+    assert by[1].text.split("\n")[2:] == ["| a | b |", "|---|---|", "| 1 | 2 |"]
     assert [(t.rows, t.cols) for t in by[1].tables] == [(2, 2), (0, 0)] and by[2].text is None and by[3].text == ""
     assert [r.cells for r in files.table_cells(pages, "id").orderBy("row_ix").collect()] == [["a", "b"], ["1", "2"]]
 
@@ -62,3 +63,50 @@ def test_streams(spark, tmp_path):
     q = arrivals.write_stream(arrivals.first_arrivals(stream, ["file_name"]), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_tables_within_tables_and_parse_outputs(spark):
+    html = "<p>x</p><table><tr><td>out<table><tr><td>in</td></tr></table></td><td>b</td></tr><tr><td>c</td></tr>"
+    pages = files.parse_pages(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id", "html")
+    assert pages.where("id = 1").first().text.split("\n") == ["x", "| in |", "|---|", "| out | b |", "|---|---|", "| c | |"]
+    meta, tables = files.parse_outputs(pages, "id", [])
+    by = {r.id: r for r in meta.collect()}
+    assert (by[1].success, by[1].table_count, [(t.rows, t.cols) for t in by[1].tables]) == (True, 2, [(2, 2), (1, 1)])
+    assert (by[2].success, by[2].total_words, by[2].table_count) == (False, 0, 0) and tables.count() == 3
+
+
+def test_filing_list(spark):
+    rows = [("AB", "0000320193", ["10-K/A", "10-K", "8-K", "10-K"], ["0-1", "00-11-2", "x", "3-4"], ["2024-01-01", "2023-11-03", "2023-01-01", "2022-10-28"], ["z.htm", "a.htm", "q", "b.htm"]), ("CD", "0", [], [], [], []), ("EF", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "ticker string, cik string, form array<string>, accessionNumber array<string>, filingDate array<string>, primaryDocument array<string>")
+    arrays = ["form", "accessionNumber", "filingDate", "primaryDocument"]
+    got = files.filing_list(df, "ticker", "cik", arrays, 5, site="https://example.org").collect()
+    assert [(r.n, r.filing_date, r.accession, r.year, r.url) for r in got] == [
+        (0, "2023-11-03", "00112", "2023", "https://example.org/Archives/edgar/data/320193/00112/a.htm"),
+        (1, "2022-10-28", "34", "2022", "https://example.org/Archives/edgar/data/320193/34/b.htm"),
+    ]
+    assert files.filing_list(df, "ticker", "cik", arrays).count() == 1
+
+
+def test_index_tables(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    df = spark.createDataFrame([("A", 1, [0.1]), ("A", 2, [0.2]), ("B/C", 3, [0.3])], "ticker string, id int, v array<float>")
+    files.index_bulk(df, path)
+    files.index_bulk(df.where("id = 3").withColumn("id", F.lit(4)), path)
+    assert {(r.ticker, r.documents) for r in files.index_stats(spark, path).collect()} == {("A", 2), ("B/C", 2)}
+    assert files.index_delete(spark, path, "B/C") and not files.index_delete(spark, path, "none")
+    assert {(r.ticker, r.documents) for r in files.index_stats(spark, path).collect()} == {("A", 2)}
+
+
+def test_cached_series(spark, tmp_path):
+    cache, calls = str(tmp_path / "c"), []
+
+    def fetch(ticker):
+        calls.append(ticker)
+        return spark.createDataFrame([("2024-01-03", 2.0), ("2024-01-02", 1.0), (None, 3.0)], "d string, close double")
+
+    assert files.cached_tickers(spark, cache) == [] and files.cached_series(spark, cache, "AB").count() == 0
+    for _ in range(2):
+        assert [r.close for r in files.cached_series(spark, cache, "AB", fetch).collect()] == [1.0, 2.0]
+    assert calls == ["AB"] and files.cached_tickers(spark, cache) == ["AB"]
+    files.cached_series(spark, cache, "AB", fetch, refresh=True)
+    assert calls == ["AB", "AB"]
