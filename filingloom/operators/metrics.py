@@ -56,7 +56,7 @@ def confusion(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     name = lambda c: F.when(c == 1, "bullish").when(c == -1, "bearish").otherwise("neutral")
     d = _marked(df).where("m is not null").groupBy(name(F.col("s")).alias("predicted"), name(F.col("m")).alias("actual")).agg(F.count("*").alias("n"))
-    labels = spark.createDataFrame([(x,) for x in ("bearish", "bullish", "neutral")], "predicted string")
+    labels = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(x) for x in ("bearish", "bullish", "neutral")])).alias("predicted"))
     cells = labels.crossJoin(F.broadcast(labels.withColumnRenamed("predicted", "actual")))
     return cells.join(d, ["predicted", "actual"], "left").na.fill(0, ["n"])
 
@@ -74,14 +74,16 @@ def better_of(a: Column, b: Column, name_a: str, name_b: str) -> Column:
 
 def threshold_cells(spark: SparkSession) -> DataFrame:
     """64 cells of (sell, buy) thresholds in twentieths, numbered with sell as the outer loop."""
-    cells = [((i * 8 + j), (i - 8) * 5 / 100.0, (j + 1) * 5 / 100.0) for i in range(8) for j in range(8)]
-    return spark.createDataFrame(cells, "cell int, sell double, buy double")
+    i, j = F.floor(F.col("id") / 8), F.col("id") % 8
+    return spark.range(0, 64, 1, 1).select(F.col("id").cast("int").alias("cell"), ((i - 8) * 5 / 100.0).alias("sell"), ((j + 1) * 5 / 100.0).alias("buy"))
 
 
 def weight_cells(spark: SparkSession) -> DataFrame:
-    """171 cells of three weights of at least .05 that add up to 1."""
-    cells = [(a, b, 20 - a - b) for a in range(1, 20) for b in range(1, 20) if 20 - a - b >= 1]
-    return spark.createDataFrame([(i, a / 20.0, b / 20.0, c / 20.0) for i, (a, b, c) in enumerate(cells)], "cell int, w1 double, w2 double, w3 double")
+    """171 cells of three weights of at least .05 that add up to 1, numbered with the first as the outer loop."""
+    a, b = F.floor(F.col("id") / 19) + 1, F.col("id") % 19 + 1
+    before = (a - 1) * 19 - (a - 1) * a / 2  # 19 - k cells for each smaller first weight k
+    rows = spark.range(0, 361, 1, 1).select(a.alias("a"), b.alias("b"), (before + b - 1).cast("int").alias("cell")).where("a + b < 20")
+    return rows.select("cell", (F.col("a") / 20.0).alias("w1"), (F.col("b") / 20.0).alias("w2"), ((20 - F.col("a") - F.col("b")) / 20.0).alias("w3"))
 
 
 def _graded(cells: DataFrame, counted: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 def _filing_texts(s: SparkSession, d: str) -> DataFrame:
     """One row a filing: repeated rows go before the work on texts, by one shuffle that deals the texts out to all tasks too."""
-    return table(s, d, "filings", "filing_id", "ticker", "full_document").where("full_document is not null").dropDuplicates(["filing_id"])
+    return spread(table(s, d, "filings", "filing_id", "ticker", "full_document").where("full_document is not null"), "filing_id").dropDuplicates(["filing_id"])
 
 
 # the patterns of clean_section, as the SQL has them
@@ -167,7 +167,7 @@ def filing_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _section_chunks(s: SparkSession, d: str) -> DataFrame:
-    df = table(s, d, "sections", "section_id", "ticker", "section", "section_text").where("section_text is not null").dropDuplicates(["section_id"])
+    df = spread(table(s, d, "sections", "section_id", "ticker", "section", "section_text").where("section_text is not null"), "section_id").dropDuplicates(["section_id"])
     df = df.withColumn("ticker", F.coalesce(F.upper(F.trim("ticker")), F.lit("UNKNOWN"))).withColumn("section", section_key("section"))
     return chunks.chunk_rows(df, ["section_id", "ticker", "section"], "section_text")
 

@@ -19,16 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 SPREAD_BYTES = 1 << 30
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small scan in fewer partitions than there are cores, dealt out to all of them; every other table is left as it is.
+def planned_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a table's size, without running anything; joins are overestimated."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small scan in fewer partitions than there are cores, dealt out to all of them (by ``keys``, if any); every other table is left as it is.
 
     For work on whole texts over a table of one small file, which is one task otherwise. Tables of over
     ``SPREAD_BYTES`` are never shuffled by it, however many cores there are.
     """
-    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
-    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES or plan.toRdd().getNumPartitions() >= cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if planned_bytes(df) > SPREAD_BYTES or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores, *keys)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
