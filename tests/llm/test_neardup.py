@@ -4,7 +4,7 @@ import random
 import pytest
 
 from filingloom.llm.words import words
-from filingloom.llm.neardup import all_pairs, bands, groups, near_duplicates, sketches, stock_values
+from filingloom.llm.neardup import ExactSets, all_pairs, bands, components, groups, near_duplicates, sketches, stock_values
 
 
 def brute(rows, threshold, size):
@@ -119,3 +119,23 @@ def test_recall_is_the_same_on_both_sides_of_stock(spark, copies):
     rows = family(random.Random(7), 60, copies, 0.05) + [(1000 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(500)]
     pairs, members = near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.6, 3)
     assert {tuple(r) for r in all_pairs(pairs, members).collect()} == brute(rows, 0.6, 3)
+
+
+@pytest.mark.parametrize("bits", [2, 21])
+def test_exact_sets_whatever_the_number_of_words(bits):
+    texts_of = {1: "a b c a b d", 2: "a b c a", 3: "a b c d e f g h", 4: "x y z a b c d e", 5: "a b", 6: ""}
+    sets = ExactSets(3)
+    sets.bits = bits
+    for k, t in texts_of.items():
+        sets.add(k, t)
+    grams = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, t in texts_of.items()}
+    for a, b in itertools.combinations(texts_of, 2):
+        x, y = grams[a], grams[b]
+        assert sets.jaccard(a, b) == (len(x & y) / len(x | y) if x | y else 0.0), (a, b)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain_of = spark.createDataFrame([(i, i + 1) for i in range(40)], "key_a long, key_b long")
+    assert {r.group for r in components(chain_of).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain_of, rounds=1)
