@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import text as T
 from filingloom.functions.dictionary import FOLLOW_UPS, INDUSTRIAL, SYNONYMS
-from filingloom.operators import asof, chunks, history, keywords, metrics, retrieval, scores, sections, status
+from filingloom.operators import ann, asof, chunks, history, keywords, metrics, retrieval, scores, sections, status
 from filingloom.sources.files import file_keys
 from filingloom.sources.tables import section_key, spread, table
 
@@ -641,6 +641,13 @@ def cosine_topk_label(s: SparkSession, d: str) -> DataFrame:
     return r6(retrieval.cosine_topk(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", same="label"))
 
 
+@query()
+def ann_topk(s: SparkSession, d: str) -> DataFrame:
+    """The same over all labels by an inverted file of cosine clusters, half of which are looked into."""
+    e = table(s, d, "embeddings")
+    return r6(ann.ann_topk(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", probes=32))
+
+
 _ASK = f"""ask AS (SELECT item_id AS q_key, list_distinct(regexp_extract_all(lower(passage), '[^{_SPACE}]+')) AS w FROM eval_items WHERE item_id % 100 = 0 AND passage IS NOT NULL),
 hit AS (SELECT q_key, doc_id, len(list_filter(w, lambda x: contains(lower(text), x))) / len(w)::DOUBLE AS share FROM ask, documents WHERE len(w) > 0 AND text IS NOT NULL),
 kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY share DESC, doc_id) AS rank FROM hit WHERE share > 0) WHERE rank <= 5)"""

@@ -333,3 +333,19 @@ def test_lookup_prefers_details(spark):
     f = spark.createDataFrame([(1, " ab "), (2, "CD"), (3, "XX"), (4, None)], "id int, ticker string")
     details, cached = spark.createDataFrame([("AB", "Able")], "ticker string, company_name string"), spark.createDataFrame([("AB", "able"), ("cd", "Cold")], "ticker string, company_name string")
     assert {r.id: r.company_name for r in retrieval.company_lookup(f, "ticker", details, cached).collect()} == {1: "Able", 2: "Cold", 3: None, 4: None}
+
+
+@pytest.mark.parametrize("probes, least", [(24, 1.0), (8, 0.9)])
+def test_approximate_search_against_brute_force(spark, probes, least):
+    from filingloom.operators import ann
+
+    rng = random.Random(9)
+    middles = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    rows = [(i, [m + rng.gauss(0, 0.6) for m in middles[0 if i % 3 == 0 else i % 30]]) for i in range(1500)]
+    rows += [(5000, None), (5001, []), (5002, [0.0] * 16), (0, rows[0][1])]
+    v = spark.createDataFrame(rows, "id int, v array<double>")
+    q = v.where("id % 50 = 0")
+    exact = retrieval.cosine_topk(q.where("id < 5000").dropDuplicates(["id"]), v.where("id < 5000"), "id", "v", 5)
+    found = ann.ann_topk(q.dropDuplicates(["id"]), v, "id", "v", 5, probes=probes, clusters=24)
+    assert ann.recall(found, exact, "id") >= least
+    assert ann.ann_topk(q, v.where("id > 4999"), "id", "v").count() == 0
