@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 BOM = chr(0xFEFF)
@@ -85,11 +86,13 @@ def read_record(payload: str | None) -> dict[str, Any] | None:
     return None
 
 
+@lru_cache(maxsize=100_000)
 def plain(key: str) -> str:
     """A key's letters and digits, in lower case."""
     return "".join(c for c in key.lower() if c.isalnum())
 
 
+@lru_cache(maxsize=100_000)
 def bare(key: str) -> str:
     """A key's name: ``plain`` with a leading ``item`` dropped."""
     return plain(key).removeprefix("item")

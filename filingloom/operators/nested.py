@@ -29,6 +29,9 @@ _FIELDS = "array<struct<path:string,name:string,value:string>>"
 _LINKS = f"record_id long, child string, item_key string, place int, parent int, owner int, key string, ordinal int, node string, body string, fields {_FIELDS}"
 
 
+_canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
+
+
 class Node:
     """One occurrence of a subtree; ``state`` says where in its stage's layout it stands."""
 
@@ -103,6 +106,8 @@ def nodes_of(stage: str, record: dict[str, Any]) -> list[Node]:
         if n.parent is not None:
             found[n.parent].nodes[n.ordinal] = place
         if isinstance(n.value, (dict, list)):
+            if not (isinstance(n.state, tuple) or n.state == "anomalies") and not any(isinstance(x, (dict, list)) for x in (n.value.values() if isinstance(n.value, dict) else n.value)):
+                continue  # nothing below it is a node
             owner = place if n.child in ENTITIES else n.owner
             items = n.value.items() if isinstance(n.value, dict) else ((str(i), x) for i, x in enumerate(n.value))
             made = [Node(x, place, owner, k, i, s) for i, ((k, x), s) in enumerate(zip(items, layout.below(n))) if _is_node(x, s)]
@@ -120,12 +125,10 @@ def _is_node(value: Any, state: Any) -> bool:
 def body_of(n: Node, found: list[Node]) -> str:
     """The canonical form; whatever is written ``{"#": ...}`` in it is a child by its hash, for no object stands in it itself."""
     v = n.value
-    mark = lambda i, x: {"#": found[n.nodes[i]].hash} if i in n.nodes else x
-    if isinstance(v, dict):
-        v = {k: mark(i, x) for i, (k, x) in enumerate(v.items())}
-    elif isinstance(v, list):
-        v = [mark(i, x) for i, x in enumerate(v)]
-    return json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    if n.nodes:
+        mark = lambda i, x: {"#": found[n.nodes[i]].hash} if i in n.nodes else x
+        v = {k: mark(i, x) for i, (k, x) in enumerate(v.items())} if isinstance(v, dict) else [mark(i, x) for i, x in enumerate(v)]
+    return _canonical(v)
 
 
 def identity(body: str) -> str:
