@@ -8,9 +8,11 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from filingloom.functions.dictionary import FOLLOW_UPS, SYNONYMS
 from filingloom.functions.text import words
+from filingloom.operators.wordsets import best_texts
 from filingloom.sources.tables import written
 
 
@@ -60,16 +62,32 @@ def top(df: DataFrame, group: str, by: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, q_key: str, question: str, key: str, text: str, k: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
+#: Different sets of words, and their bytes, that are sent to one scan of the texts; more are further scans.
+SET_ROWS, SET_BYTES = 50_000, 8 << 20
+
+
+def keyword_topk(queries: DataFrame, docs: DataFrame, q_key: str, question: str, key: str, text: str, k: int = 5, rows: int = SET_ROWS) -> DataFrame:
     """``(q_key, key, share, rank)``: texts by the share of the question's distinct tokens that they hold as substrings, above 0.
 
-    The questions are a stated set, met in blocks of ``rows``, as in :func:`cosine_topk`; ``q_key`` may be a struct.
+    Questions of the same tokens are one set, answered once. Sets are met with the texts in blocks of about ``rows``; a block is one scan, in
+    which each text is looked through once for the words of all sets, and each task keeps the ``k`` best texts of a set. ``q_key`` may be
+    a struct; ``key`` must be a type that Python orders as Spark does (whole numbers, strings, dates).
     """
-    q = queries.select(F.col(q_key).alias("q_key"), F.array_distinct(words(F.lower(question))).alias("_w")).where(F.size("_w") > 0)
-    d = docs.select(F.col(key), F.lower(text).alias("_t")).where("_t is not null")
-    hits = F.size(F.filter("_w", lambda w: F.contains(F.col("_t"), w)))
-    pairs = lambda part: d.join(part, F.lit(True)).select("q_key", key, (hits / F.size("_w")).alias("share")).where("share > 0")
-    return _in_blocks(q, pairs, lambda x: top(x, "q_key", "share", key, k), rows)
+    q = queries.select(F.col(q_key).alias("q_key"), F.array_sort(F.array_distinct(words(F.lower(question)))).alias("_w")).where(F.size("_w") > 0)
+    d = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_t")).where("_t is not null")
+    # written, for a set must keep its number
+    sets = written(q.select("_w").distinct().withColumn("_set", F.monotonically_increasing_id()))
+    size = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json("_w"))), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size.n // rows), -(-size.b // SET_BYTES))
+    kind = StructType([StructField("_set", LongType()), StructField("_key", d.schema["_key"].dataType), StructField("_hits", IntegerType())])
+
+    def best(block: int) -> DataFrame:
+        mine = [(r["_set"], r["_w"]) for r in sets.where(F.pmod(F.xxhash64("_set"), F.lit(blocks)) == block).collect()]
+        return top(d.mapInArrow(lambda batches: best_texts(batches, mine, k), kind), "_set", "_hits", "_key", k).drop("rank")
+
+    found = best(0) if blocks == 1 else reduce(DataFrame.unionByName, [written(best(b)) for b in range(blocks)])
+    hits = found.join(sets, "_set").join(q, "_w").select("q_key", F.col("_key").alias(key), (F.col("_hits") / F.size("_w")).alias("share"))
+    return top(hits, "q_key", "share", key, k)
 
 
 def expanded_topk(queries: DataFrame, docs: DataFrame, q_key: str, question: str, key: str, text: str, k: int = 5, most: int = 3) -> DataFrame:

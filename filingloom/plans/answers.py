@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filingloom.functions.dictionary import FOLLOW_UPS
 from filingloom.operators import history, retrieval
 from filingloom.plans.analytics import _ARMS, _SPACE, query, r6
-from filingloom.sources.tables import table
+from filingloom.sources.tables import small, table, written
 
 _TOKENS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[^{_SPACE}]+'))"
 
@@ -98,7 +98,9 @@ def rag_answers(s: SparkSession, d: str) -> DataFrame:
     """Every question of every conversation, follow-ups expanded, with the best documents as sources and their excerpts as the answer, or a sentence that says there are none."""
     asked = retrieval.with_history(_turns(s, d), "conv_id", "turn", "content", "role").where("role = 'user'").select((F.col("turn") / 2).cast("long").alias("item_id"), "expanded")
     docs = table(s, d, "documents", "doc_id", "text", "ticker", "section", "filing_date")
-    found = retrieval.keyword_topk(asked, docs, "item_id", "expanded", "doc_id", "text").where(F.col("share") >= LEAST_SHARE).withColumnRenamed("q_key", "item_id").join(docs, "doc_id")
+    best = written(retrieval.keyword_topk(asked, docs, "item_id", "expanded", "doc_id", "text").where(F.col("share") >= LEAST_SHARE).withColumnRenamed("q_key", "item_id"))
+    # the few rows found go to the texts, and what they meet is read three times for an answer
+    found = written(small(best).join(docs, "doc_id"))
     head = F.concat_ws(" ", F.coalesce(F.upper(F.trim("ticker")), F.lit("")), F.coalesce(F.col("filing_date").cast("string"), F.lit("")), F.coalesce("section", F.lit("")))
     out = retrieval.answers(asked, found, "item_id", "expanded", head, "text", "share")
     named = F.transform("sources", lambda x: F.concat(x["source"], F.lit("="), x["score"].cast("decimal(9,4)").cast("string")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import text as T
 from filingloom.functions.dictionary import INDUSTRIAL, tracked
-from filingloom.operators import asof, chunks, history, keywords, metrics, pipeline, reports, retrieval, scores, sections, status
+from filingloom.operators import asof, chunks, history, keywords, metrics, pipeline, reports, retrieval, scores, sections, status, wordsets
 
 
 def one(spark, column, value=None):
@@ -272,6 +272,47 @@ def test_searches_in_blocks(spark, rows):
     assert len(found) == 12 and all(r.share > 0 for r in found)
 
 
+@pytest.mark.parametrize("rows", [1000, 7])
+def test_keyword_search_looks_once_through_a_text(spark, rows):
+    """As over all pairs, without a join of questions and texts: ties, unspaced texts, words of any length, wide spaces, repeated questions and keys."""
+    rng = random.Random(9)
+    parts = ["a", "ab", "note", "item", "é", "売上高", "1?", "$5", "section_dump", "zq", "İx", "the"]
+    text = lambda n, sep: sep.join(rng.choice(parts) + rng.choice(["", "", "s", "A", ","]) for _ in range(rng.randrange(n)))
+    texts = [(i % 290, text(12, rng.choice([" ", "", "|", "\u3000", "\n"]))) for i in range(300)] + [(None, "the note"), (999, None), (998, " ")]
+    asked = [(i % 35, text(7, rng.choice([" ", "\u2003"]))) for i in range(40)] + [(99, None), (98, "  "), (97, "nowhere")]
+    rng.shuffle(texts)
+    d = spark.createDataFrame(texts, "id int, t string").repartition(3)
+    q = spark.createDataFrame(asked, "q int, t string")
+    got = retrieval.keyword_topk(q, d, "q", "t", "id", "t", 4, rows=rows)
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("NestedLoop", "Cartesian"))
+    low = lambda df: [tuple(r) for r in df.select(df.columns[0], F.lower("t")).collect()]
+    every = {}
+    for k, w in low(q):
+        w = set((w or "").split())
+        every.setdefault(k, []).extend((-sum(x in t for x in w) / len(w), i is not None, i) for i, t in low(d) if w and t is not None and any(x in t for x in w))
+    want = sorted((k, n, -s, i or -1) for k, hits in every.items() for n, (s, _, i) in enumerate(sorted(hits)[:4], 1))
+    assert want and sorted((r.q_key, r["rank"], r.share, r.id or -1) for r in got.collect()) == want
+
+
+def test_kinds_of_texts_are_met_in_rounds(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    sets = [(n, sorted(rng.sample(words, rng.randrange(1, 6)))) for n in range(50)]
+    texts = [(i, " ".join(rng.sample(words, 9))) for i in range(200)] * 2
+    rng.shuffle(texts)
+    want = {n: sorted((-sum(x in t for x in w), i) for i, t in texts if any(x in t for x in w))[:3] for n, w in sets}
+    for kinds, seen in ((4096, 500_000), (5, 3)):
+        monkeypatch.setattr(wordsets, "KINDS", kinds)
+        monkeypatch.setattr(wordsets, "SEEN", seen)
+        best, found = wordsets.Best(sets, 3), wordsets.finder(w for _, ws in sets for w in ws)
+        for i, t in texts:
+            best.add(i, found(t))
+        got = {}
+        for n, i, hits in best.rows():
+            got.setdefault(n, []).append((-hits, i))
+        assert got == want
+
+
 def test_answers(spark):
     ask = spark.createDataFrame([(1, "debt"), (2, "nothing"), (3, "broken")], "q int, question string")
     hits = spark.createDataFrame([(q, n, f"T 2024 s{n}", "text " * 200, 1.0 / n) for q in (1, 3) for n in (1, 2, 3, 4)], "q int, rank int, head string, text string, share double")
