@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from filingloom.functions.dictionary import FOLLOW_UPS, SYNONYMS
 from filingloom.functions.text import words
+from filingloom.operators.nearest import best_vectors
 from filingloom.operators.wordsets import best_texts
-from filingloom.sources.tables import written
+from filingloom.sources.tables import spread, written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,12 +49,25 @@ def cosine_topk(queries: DataFrame, index: DataFrame, key: str, vector: str, k:
     """``(q_key, key, similarity, rank)``: for each query row the ``k`` most similar index rows with a similarity above 0, itself left out.
 
     Exact. The queries are a stated set, met in blocks of ``rows``; the rank limit works in each task before anything is moved.
-    ``same`` names a column that has to agree; queries and index are then joined on it if there are many queries.
+    ``same`` names a column that has to agree; queries and index are then joined on it if there are many queries. Without it all pairs
+    are met, in Arrow batches; ``key`` must be of a type that Arrow sorts as Spark does (whole numbers, strings, dates).
     """
-    q = queries.select(F.col(key).alias("q_key"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"), *([F.col(same).alias("_qs")] if same else []))
-    x = index.select(F.col(key), F.col(vector).alias("_x"), norm(F.col(vector)).alias("_xn"), *([F.col(same).alias("_xs")] if same else []))
-    on = (F.col("q_key") != F.col(key)) & ((F.col("_qs") == F.col("_xs")) if same else F.lit(True))
-    pairs = lambda part: x.join(part, on).select("q_key", key, (dot(F.col("_q"), F.col("_x")) / (F.col("_qn") * F.col("_xn"))).alias("similarity")).where("similarity > 0")
+    if same:
+        q = queries.select(F.col(key).alias("q_key"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"), F.col(same).alias("_qs"))
+        x = index.select(F.col(key), F.col(vector).alias("_x"), norm(F.col(vector)).alias("_xn"), F.col(same).alias("_xs"))
+        on = (F.col("q_key") != F.col(key)) & (F.col("_qs") == F.col("_xs"))
+        pairs = lambda part: x.join(part, on).select("q_key", key, (dot(F.col("_q"), F.col("_x")) / (F.col("_qn") * F.col("_xn"))).alias("similarity")).where("similarity > 0")
+    else:
+        numbers = F.col(vector).cast("array<double>")
+        q = queries.select(F.col(key).alias("q_key"), numbers.alias("_q")).where("q_key is not null")
+        x = spread(index.select(F.col(key).alias("_key"), numbers.alias("_x")).where("_key is not null"), "_key")
+        kind = StructType([StructField("q_key", q.schema["q_key"].dataType), StructField("_key", x.schema["_key"].dataType), StructField("similarity", DoubleType())])
+
+        def pairs(part: DataFrame) -> DataFrame:
+            block = part.toArrow().combine_chunks()
+            keys, vectors = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in block.columns)
+            return x.mapInArrow(lambda batches: best_vectors(batches, keys, vectors, k), kind).withColumnRenamed("_key", key)
+
     return _in_blocks(q, pairs, lambda d: top(d, "q_key", "similarity", key, k), rows)
 
 

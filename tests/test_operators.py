@@ -272,6 +272,30 @@ def test_searches_in_blocks(spark, rows):
     assert len(found) == 12 and all(r.share > 0 for r in found)
 
 
+@pytest.mark.parametrize("kind, rows", [("int", 1000), ("string", 1000), ("int", 7)])
+def test_vector_search_meets_pairs_in_batches(spark, monkeypatch, kind, rows):
+    """To the last bit as over all pairs, without a join of them: ties, repeated keys, lengths, nulls, numbers that are none, and no query at all."""
+    from filingloom.operators import nearest
+
+    monkeypatch.setattr(nearest, "PAIRS", 50)
+    monkeypatch.setattr(nearest, "LEAST", 2)
+    rng, nan, far = random.Random(3), float("nan"), float("inf")
+    vector = lambda i: [rng.choice([-1.0, 0.1, 0.3, 1.0, 2.0]) if i % 2 else rng.gauss(0, 1) for _ in range(3 + (i % 5 == 0))]
+    data = [(i % 290, vector(i)) for i in range(300)] + [(None, [1.0, 1.0, 1.0]), (40, None), (44, []), (48, [1.0, None, 2.0]), (52, [0.0] * 3), (56, [nan, 1.0, 1.0]), (301, [far, 1.0, 1.0])]
+    rng.shuffle(data)
+    v = spark.createDataFrame(data, "id int, v array<float>").repartition(3).select(F.col("id").cast(kind), "v").cache()
+    q = v.where("id % 4 = 0 or id is null")
+    got = retrieval.cosine_topk(q, v, "id", "v", 4, rows=rows)
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("NestedLoop", "Cartesian"))
+    share = retrieval.dot(F.col("a"), F.col("v")) / (retrieval.norm(F.col("a")) * retrieval.norm(F.col("v")))
+    pairs = q.select(F.col("id").alias("q_key"), F.col("v").alias("a")).join(v, F.col("q_key") != F.col("id")).select("q_key", "id", share.alias("similarity")).where("similarity > 0")
+    want = retrieval.top(pairs, "q_key", "similarity", "id", 4)
+    assert got.dtypes == want.dtypes
+    plain = lambda df: sorted((r.q_key, r["rank"], r.id, repr(r.similarity)) for r in df.collect())
+    assert plain(want) and plain(got) == plain(want)
+    assert retrieval.cosine_topk(q.limit(0), v, "id", "v").count() == retrieval.cosine_topk(q, v.limit(0), "id", "v").count() == 0
+
+
 @pytest.mark.parametrize("rows", [1000, 7])
 def test_keyword_search_looks_once_through_a_text(spark, rows):
     """As over all pairs, without a join of questions and texts: ties, unspaced texts, words of any length, wide spaces, repeated questions and keys."""
